@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 21
 #: Rows of an Arrow batch: with texts of some kilobytes, a few megabytes.
-BATCH_ROWS = "512"
+BATCH_ROWS = "256"
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from .decontaminate import op3_decontaminate
+from .packing import op1_pack
+from .repair import op9_repair
 
 QUERIES = {
+    "op1_pack": op1_pack,
     "op3_decontaminate": op3_decontaminate,
+    "op9_repair": op9_repair,
 }
 ORACLE: dict[str, str] = {}
