@@ -158,3 +158,18 @@ _LOWER[65:91] += 32
 def lowered(data: np.ndarray) -> np.ndarray:
     """A-Z to a-z, all else as it is."""
     return _LOWER[data]
+
+
+def kept_rows(docs: DataFrame, text: str, keep) -> DataFrame:
+    """The rows, with all their columns, for which keep(bytes, offsets) of the text column is true."""
+    names = docs.columns
+    place = names.index(text)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(place))
+            mask = [keep(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in steps(offsets)]
+            yield batch.filter(pa.array(np.concatenate(mask) if mask else np.zeros(0, bool), pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .decontaminate import op3_decontaminate
+from .langid import op8_langid
 from .packing import op1_pack
 from .repair import op9_repair
 
 QUERIES = {
     "op1_pack": op1_pack,
     "op3_decontaminate": op3_decontaminate,
+    "op8_langid": op8_langid,
     "op9_repair": op9_repair,
 }
 ORACLE: dict[str, str] = {}
