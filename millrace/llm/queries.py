@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .decontaminate import op3_decontaminate
 from .langid import op8_langid
+from .lines import SQL as LINES_SQL
+from .lines import op10_lines
 from .packing import op1_pack
 from .repair import op9_repair
 
@@ -12,5 +14,8 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op8_langid": op8_langid,
     "op9_repair": op9_repair,
+    "op10_lines": op10_lines,
+}
+ORACLE: dict[str, str] = {
+    "op10_lines": LINES_SQL,
 }
-ORACLE: dict[str, str] = {}
