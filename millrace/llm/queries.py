@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .count import op7_count
 from .decontaminate import op3_decontaminate
 from .langid import op8_langid
 from .lines import SQL as LINES_SQL
@@ -12,6 +13,7 @@ from .repair import op9_repair
 QUERIES = {
     "op1_pack": op1_pack,
     "op3_decontaminate": op3_decontaminate,
+    "op7_count": op7_count,
     "op8_langid": op8_langid,
     "op9_repair": op9_repair,
     "op10_lines": op10_lines,

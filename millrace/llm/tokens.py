@@ -7,6 +7,7 @@ millions of code points at a time with array operations; the library encodes onl
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -152,6 +153,20 @@ class Ragged:
         return self.values[spread(self.starts[rows], lengths)], lengths
 
 
+def cut_out(data: np.ndarray, offsets: np.ndarray, special: dict[bytes, int]) -> tuple[np.ndarray, dict[int, int]]:
+    """Rows cut at special strings: offsets of all parts, and for the start of each special string its id."""
+    raw, found, more = data.tobytes() if special else b"", {}, []
+    for at in (m.start() for m in re.finditer(b"|".join(re.escape(w) for w in special), raw)) if special else ():
+        word = next(w for w in special if raw.startswith(w, at))
+        if at + len(word) <= offsets[np.searchsorted(offsets, at, "right")]:
+            found[at] = special[word]
+            more += [at, at + len(word)]
+    if not found:
+        return offsets, found
+    kept = offsets.tolist()
+    return np.array(sorted(kept + list(set(more) - set(kept))), np.int64), found
+
+
 class Encoder:
     """ids of rows of UTF-8 text, equal to Tokenizer.encode(text, add_special_tokens=False).ids."""
 
@@ -189,24 +204,13 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of all rows, and the n + 1 offsets of the rows among them."""
-        raw, cuts = None, {}
-        for word, number in self.special.items():
-            raw = raw if raw is not None else data.tobytes()
-            at = raw.find(word)
-            while at >= 0:
-                row_end = offsets[np.searchsorted(offsets, at, "right")]
-                if at + len(word) <= row_end:
-                    cuts[at] = (at + len(word), number)
-                    at = raw.find(word, at + len(word))
-                else:
-                    at = raw.find(word, at + 1)
+        inner, cuts = cut_out(data, offsets, self.special)
         if not cuts:
             return self._encode(data, offsets)
-        inner = np.unique(np.concatenate([offsets, *([a, b] for a, (b, _) in cuts.items())]))
         ids, at = self._encode(data, inner)
         parts, lengths = [], []
         for i in range(len(inner) - 1):
-            own = np.array([cuts[inner[i]][1]], np.uint32) if inner[i] in cuts else ids[at[i] : at[i + 1]]
+            own = np.array([cuts[inner[i]]], np.uint32) if inner[i] in cuts and inner[i + 1] > inner[i] else ids[at[i] : at[i + 1]]
             parts.append(own)
             lengths.append(len(own))
         total = np.concatenate([[0], np.cumsum(lengths)])
