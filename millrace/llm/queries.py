@@ -7,12 +7,14 @@ from .decontaminate import op3_decontaminate
 from .langid import op8_langid
 from .lines import SQL as LINES_SQL
 from .lines import op10_lines
+from .neardup import op4_neardup
 from .packing import op1_pack
 from .repair import op9_repair
 
 QUERIES = {
     "op1_pack": op1_pack,
     "op3_decontaminate": op3_decontaminate,
+    "op4_neardup": op4_neardup,
     "op7_count": op7_count,
     "op8_langid": op8_langid,
     "op9_repair": op9_repair,
