@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 21
 #: Rows of an Arrow batch: with texts of some kilobytes, a few megabytes.
-BATCH_ROWS = "256"
+BATCH_ROWS, BATCH_BYTES = "256", "16m"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,12 +33,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: computed once, and lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # what was shuffled for the table goes as soon as the table is there
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

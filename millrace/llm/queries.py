@@ -10,11 +10,13 @@ from .lines import op10_lines
 from .neardup import op4_neardup
 from .packing import op1_pack
 from .repair import op9_repair
+from .substrings import op5_substrings
 
 QUERIES = {
     "op1_pack": op1_pack,
     "op3_decontaminate": op3_decontaminate,
     "op4_neardup": op4_neardup,
+    "op5_substrings": op5_substrings,
     "op7_count": op7_count,
     "op8_langid": op8_langid,
     "op9_repair": op9_repair,
