@@ -58,10 +58,10 @@ def repeated(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id:
     """(key, _starts): for each document, the first lines of its windows that occur earlier."""
     every = written(windows(docs, window, text, doc_id).distinct(), "windows")
     marks = every.select("key", "mark", "place").distinct().groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
-    near = every.join(marks, "mark", "left_semi")
     order = F.struct("key", "line")
-    first = near.groupBy("a", "b").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
-    later = near.join(first, ["a", "b"]).where(order != F.col("first"))
+    kinds = every.groupBy("mark", "a", "b").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = kinds.join(marks, "mark", "left_semi").select("a", "b", "first")
+    later = every.join(first, ["a", "b"]).where(order != F.col("first"))
     return later.groupBy("key").agg(F.collect_list("line").alias("_starts"))
 
 
