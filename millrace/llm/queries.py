@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .count import op7_count
 from .decontaminate import op3_decontaminate
+from .imatch import op6_imatch
 from .langid import op8_langid
 from .lines import SQL as LINES_SQL
 from .lines import op10_lines
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_neardup": op4_neardup,
     "op5_substrings": op5_substrings,
+    "op6_imatch": op6_imatch,
     "op7_count": op7_count,
     "op8_langid": op8_langid,
     "op9_repair": op9_repair,
