@@ -12,9 +12,11 @@ from .neardup import op4_neardup
 from .packing import op1_pack
 from .repair import op9_repair
 from .substrings import op5_substrings
+from .surrogates import op2_surrogates
 
 QUERIES = {
     "op1_pack": op1_pack,
+    "op2_surrogates": op2_surrogates,
     "op3_decontaminate": op3_decontaminate,
     "op4_neardup": op4_neardup,
     "op5_substrings": op5_substrings,
