@@ -8,9 +8,11 @@ what separate tables would need. A pair of similarity 0.75 shares no table with
 2. Half keys that one representative alone has rule out their tables; the others are paired into table keys.
 3. In each bucket every member is compared with the smallest one: candidates grow with the rows, not with their square.
    Confirmed links give first components.
-4. Buckets whose members lie in several components are searched whole, in blocks of bounded size, for pairs between
-   different components that signatures of 4 * HALVES bytes do not rule out (half of them equal; below 2e-6 for a pair of
-   similarity 0.75). Pairs within a component need no search: they can't change it.
+4. Buckets of left half keys (a pair of similarity 0.75 shares none with probability below 2e-6) whose members lie in
+   several components are searched whole, in blocks of bounded size, for pairs between different components. What rules
+   a pair out is exact (shingles that no other member of these buckets has can't be common; shingles folded to 16 bits
+   bound what is) or a signature of 4 * HALVES bytes (less than half of them equal; below 2e-6 again). Pairs within a
+   component need no search: they can't change it.
 5. All links are confirmed on full shingle sets; components of all links are the result.
 
 Defined cases: a text without words (null and empty too) has an empty set and is linked with nothing; rows with equal
@@ -30,8 +32,8 @@ from .common import Rolling, documents, lowered, mix, paired, runs, small_batche
 from .components import components
 
 SHINGLE, PERCENT, HALVES = 5, 75, 16
-#: Rows that meet one leader, or one another, at a time.
-BLOCK = 64
+#: Rows that meet one leader at a time, and one another.
+BLOCK, GROUP = 64, 512
 _GAP = np.zeros(256, bool)
 _GAP[[32, *range(9, 14)]] = True
 _FEATURES = "doc_id long, n_shingles long, d1 long, d2 long, signature binary, lefts array<long>, rights array<long>"
@@ -135,32 +137,40 @@ def confirmed(texts: DataFrame, pairs: DataFrame, size: int = SHINGLE, percent:
     return written(rows.select("a", "role", F.col("doc_id").alias("b"), "text").mapInArrow(_confirm(size, percent), "a long, b long").distinct(), "links")
 
 
-def _compare():
-    """Pairs of different components in a group whose signatures agree in half of the bytes at least."""
+def _compare(percent: int):
+    """Pairs of different components in a group that could be similar enough: sizes and shared shingles allow it, half of the signature
+    agrees, and so do shingles folded to 16 bits. A pair is looked at in the first table in which its half keys meet."""
 
-    def flush(ids: list, parts: list, signatures: list):
-        own = np.frombuffer(b"".join(signatures), np.uint8).reshape(len(ids), -1)
-        part, number = np.array(parts), np.array(ids)
+    def flush(table: int, ids: list, parts: list, sizes: list, shared: list, signatures: list, lefts: list, folded: list):
+        own, half = np.frombuffer(b"".join(signatures), np.uint8).reshape(len(ids), -1), np.array(lefts)
+        part, number, n, s = np.array(parts), np.array(ids), np.array(sizes), np.array(shared)
+        sets16 = [np.frombuffer(x, np.uint16) for x in folded]
+        lost = n - np.array([len(x) for x in sets16])  # shingles folded onto others
         for k in range(len(ids)):
-            near = np.flatnonzero((own[k + 1 :] == own[k]).sum(1) >= own.shape[1] // 2) + k + 1
-            near = near[(part[near] != part[k]) & (number[near] != number[k])]
-            yield from ((min(ids[k], ids[x]), max(ids[k], ids[x])) for x in near.tolist())
+            most = np.minimum(s[k + 1 :], s[k])
+            near = np.flatnonzero((part[k + 1 :] != part[k]) & (100 * most >= percent * (n[k + 1 :] + n[k] - most))) + k + 1
+            near = near[(own[near] == own[k]).sum(1) >= own.shape[1] // 2]
+            near = near[((half[near] == half[k]).argmax(1) == table) & (number[near] != number[k])]
+            for x in near.tolist():
+                common = len(np.intersect1d(sets16[k], sets16[x], assume_unique=True)) + min(lost[k], lost[x])
+                if 100 * common >= percent * (n[k] + n[x] - common):
+                    yield min(ids[k], ids[x]), max(ids[k], ids[x])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, ([], [], [])
+        group, held = None, [[] for _ in range(7)]
         for batch in batches:
-            found = set()
-            columns = [batch.column(k).to_pylist() for k in range(6)]
-            for key, x, y, rep, part, signature in zip(*columns, strict=True):
-                if (key, x, y) != group:
+            found = []
+            columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
+            for i, half, x, y, *row in zip(*columns, strict=True):
+                if (i, half, x, y) != group:
                     if held[0]:
-                        found.update(flush(*held))
-                    group, held = (key, x, y), ([], [], [])
-                for column, value in zip(held, (rep, part, signature), strict=True):
+                        found += flush(group[0], *held)
+                    group, held = (i, half, x, y), [[] for _ in range(7)]
+                for column, value in zip(held, row, strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
         if held[0]:
-            found = set(flush(*held))
+            found = list(flush(group[0], *held))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
@@ -178,25 +188,65 @@ def table_keys(reps: DataFrame) -> DataFrame:
     return pairs.select("rep", F.xxhash64("l.i", "l.half", "r.i", "r.half").alias("key"))
 
 
-def cross_component_pairs(keys: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
-    """Candidates between different components, from buckets that have several."""
-    named = keys.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
-    mixed = named.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    open_ = written(named.join(mixed, "key", "left_semi"), "open")
-    sizes = open_.groupBy("key", "part").agg(F.count("*").alias("n"))
-    shape = sizes.groupBy("key").agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("all"))
-    shape = shape.select("key", F.col("most.part").alias("big"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("n_big"), F.ceil((F.col("all") - F.col("most.n")) / BLOCK).cast("int").alias("n_small"))
-    rows = open_.join(shape, "key").withColumn("h", F.xxhash64("rep")).withColumn("is_big", F.col("part") == F.col("big"))
+def _shingle_rows(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            for i, j in steps(offsets):
+                found = sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
+                rep = np.repeat(batch.column(0).to_numpy()[i:j], [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.concatenate(found).view(np.int64))], ["rep", "shingle"])
+
+    return run
+
+
+def _folded(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            found = [x for i, j in steps(offsets) for x in sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique((x >> np.uint64(48)).astype(np.uint16)).tobytes() for x in found], pa.binary())], ["rep", "folded"])
+
+    return run
+
+
+_LEFT = ["i", "half"]
+
+
+def _mixed(named: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components."""
+    mixed = named.groupBy(*_LEFT).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(*_LEFT)
+    return named.join(mixed, _LEFT, "left_semi")
+
+
+def cross_component_pairs(keys: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Candidates between different components, from buckets of the left collection that have several. Shingles that one of their members
+    alone has bound what it can share with any other: who can't reach the similarity goes."""
+    met = keys.select("rep").distinct()
+    named = reps.join(met, "rep", "left_semi").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    halves = named.select("rep", F.coalesce("component", "rep").alias("part"), F.posexplode("lefts").alias("i", "half"))
+    several = written(_mixed(halves), "several")
+    own = several.select(F.col("rep").alias("doc_id")).distinct()
+    rows = texts.join(own, "doc_id").select("doc_id", "text").mapInArrow(_shingle_rows(size), "rep long, shingle long")
+    alone = rows.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).where("rep = last").groupBy("rep").agg(F.count("*").alias("alone"))
+    reach = reps.join(written(alone, "alone"), "rep", "left").withColumn("shared", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
+    able = reach.where(100 * F.col("shared") >= percent * F.col("n_shingles")).select("rep", "n_shingles", "shared", "signature", "lefts")
+    open_ = written(_mixed(several.join(able.select("rep"), "rep", "left_semi")), "open")
+    shape = open_.groupBy(*_LEFT, "part").agg(F.count("*").alias("n")).groupBy(*_LEFT).agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("all"))
+    shape = shape.select(*_LEFT, F.col("most.part").alias("big"), F.ceil(F.col("most.n") / GROUP).cast("int").alias("n_big"), F.ceil((F.col("all") - F.col("most.n")) / GROUP).cast("int").alias("n_small"))
+    rows = open_.join(shape, _LEFT).withColumn("h", F.xxhash64("rep")).withColumn("is_big", F.col("part") == F.col("big"))
     rows = rows.withColumn("own", F.pmod("h", F.when(F.col("is_big"), F.col("n_big")).otherwise(F.col("n_small"))).cast("int"))
     smalls, bigs = F.sequence(F.lit(0), F.col("n_small") - 1), F.sequence(F.lit(0), F.col("n_big") - 1)
     with_small = F.transform(smalls, lambda t: F.struct(F.least(t, F.col("own")).alias("x"), F.greatest(t, F.col("own")).alias("y")))
     with_big = F.transform(bigs, lambda t: F.struct(F.col("own").alias("x"), (F.col("n_small") + t).alias("y")))
     of_big = F.transform(smalls, lambda t: F.struct(t.alias("x"), (F.col("n_small") + F.col("own")).alias("y")))
     groups = F.when(F.col("is_big"), of_big).otherwise(F.concat(with_small, with_big))
-    dealt = rows.select("key", "rep", "part", F.explode(groups).alias("g")).select("key", "g.x", "g.y", "rep", "part")
-    signed = dealt.join(reps.select("rep", "signature"), "rep").select("key", "x", "y", "rep", "part", "signature")
-    placed = signed.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return written(placed.mapInArrow(_compare(), "a long, b long").distinct(), "pairs")
+    dealt = rows.select(*_LEFT, "rep", "part", F.explode(groups).alias("g")).select(*_LEFT, "g.x", "g.y", "rep", "part")
+    wanted = open_.select(F.col("rep").alias("doc_id")).distinct()
+    folded = written(texts.join(wanted, "doc_id").select("doc_id", "text").mapInArrow(_folded(size), "rep long, folded binary"), "folded")
+    placed = dealt.join(able.join(folded, "rep"), "rep").repartition(*_LEFT, "x", "y").sortWithinPartitions(*_LEFT, "x", "y")
+    row = placed.select(*_LEFT, "x", "y", "rep", "part", "n_shingles", "shared", "signature", "lefts", "folded")
+    return written(row.mapInArrow(_compare(percent), "a long, b long").distinct(), "pairs")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, halves: int = HALVES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -214,7 +264,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     plain = texts.where("text IS NOT NULL")
     links = confirmed(plain, first, size, percent)
     labels = components(links)
-    more = confirmed(plain, cross_component_pairs(keys, labels, reps), size, percent)
+    more = confirmed(plain, cross_component_pairs(keys, labels, reps, plain, size, percent), size, percent)
     links = links.unionByName(more)
     if not more.isEmpty():
         labels = components(links)
