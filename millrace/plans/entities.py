@@ -11,7 +11,7 @@ from ..operators import windows as W
 from .base import Tables, query
 
 _LAST = "TIMESTAMP '2024-01-30 00:00:00'"
-LAST = F.lit("2024-01-30 00:00:00")
+LAST = "2024-01-30 00:00:00"
 
 
 @query("""
@@ -168,14 +168,14 @@ SELECT user_id, managed, NOT managed AND seen < {_LAST} - INTERVAL 1 DAY AS expi
 """)
 def expiry_flags(t: Tables):
     seen = t.events.where(F.col("ts") < F.lit("2024-01-29 20:00:00").cast("timestamp_ntz")).groupBy("user_id").agg(F.max(F.col("ts").cast("timestamp_ntz")).alias("seen"), F.bool_or((F.col("event_type") == "purchase") & (F.col("value") > 50)).alias("managed"))
-    now = LAST.cast("timestamp_ntz")
+    now = F.lit(LAST).cast("timestamp_ntz")
     return seen.select("user_id", "managed", L.expired(F.lit(True), F.col("managed"), F.col("seen"), now, 1).alias("expired"), L.stale(F.col("seen"), now - F.expr("INTERVAL '24' HOUR")).alias("stale"))
 
 
 @query(f"SELECT c_custkey FROM customer c LEFT JOIN (SELECT user_id, max(ts) AS seen FROM events GROUP BY 1) e ON c.c_custkey = e.user_id WHERE seen IS NULL OR seen < {_LAST} - INTERVAL 24 HOUR")
 def stale_entities(t: Tables):
     seen = t.events.groupBy(F.col("user_id").alias("c_custkey")).agg(F.max(F.col("ts").cast("timestamp_ntz")).alias("seen"))
-    return t.customer.select("c_custkey").join(seen, "c_custkey", "left").where(L.stale(F.col("seen"), LAST.cast("timestamp_ntz") - F.expr("INTERVAL '24' HOUR"))).select("c_custkey")
+    return t.customer.select("c_custkey").join(seen, "c_custkey", "left").where(L.stale(F.col("seen"), F.lit(LAST).cast("timestamp_ntz") - F.expr("INTERVAL '24' HOUR"))).select("c_custkey")
 
 
 _ISLANDS = "SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM"
