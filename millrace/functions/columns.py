@@ -57,7 +57,7 @@ def ordered_match(text: Column, words: dict[str, str], otherwise: str | None = N
 
 
 def _host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]+)", 1))
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]+)(?::\d*)?(?:[/?#]|$)", 1))
 
 
 def normalized_url(url: Column) -> Column:
