@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 20
 #: Rows of an Arrow batch: with texts of some kilobytes, a few megabytes.
 BATCH_ROWS, BATCH_BYTES = "256", "16m"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

@@ -15,6 +15,9 @@ what separate tables would need. A pair of similarity 0.75 shares no table with
    component need no search: they can't change it.
 5. All links are confirmed on full shingle sets; components of all links are the result.
 
+Texts of documents that share a table key are written once and read by steps 3 to 5; joins with texts are merge joins
+whatever the size, so that plans are alike on small and large tables.
+
 Defined cases: a text without words (null and empty too) has an empty set and is linked with nothing; rows with equal
 doc_id are one document; a null doc_id is linked with nothing and is its own (null) component; other columns are not read.
 """
@@ -133,7 +136,7 @@ def confirmed(texts: DataFrame, pairs: DataFrame, size: int = SHINGLE, percent:
     members = pairs.join(counts, "a").select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"))
     leaders = counts.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"))
     wanted = written(members.unionByName(leaders), "wanted")
-    rows = texts.join(wanted, "doc_id").repartition("a", "block").sortWithinPartitions("a", "block", "role", "doc_id")
+    rows = texts.join(wanted.hint("merge"), "doc_id").repartition("a", "block").sortWithinPartitions("a", "block", "role", "doc_id")
     return written(rows.select("a", "role", F.col("doc_id").alias("b"), "text").mapInArrow(_confirm(size, percent), "a long, b long").distinct(), "links")
 
 
@@ -227,7 +230,7 @@ def cross_component_pairs(keys: DataFrame, labels: DataFrame, reps: DataFrame, t
     halves = named.select("rep", F.coalesce("component", "rep").alias("part"), F.posexplode("lefts").alias("i", "half"))
     several = written(_mixed(halves), "several")
     own = several.select(F.col("rep").alias("doc_id")).distinct()
-    rows = texts.join(own, "doc_id").select("doc_id", "text").mapInArrow(_shingle_rows(size), "rep long, shingle long")
+    rows = texts.join(own.hint("merge"), "doc_id").select("doc_id", "text").mapInArrow(_shingle_rows(size), "rep long, shingle long")
     alone = rows.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).where("rep = last").groupBy("rep").agg(F.count("*").alias("alone"))
     reach = reps.join(written(alone, "alone"), "rep", "left").withColumn("shared", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
     able = reach.where(100 * F.col("shared") >= percent * F.col("n_shingles")).select("rep", "n_shingles", "shared", "signature", "lefts")
@@ -243,7 +246,7 @@ def cross_component_pairs(keys: DataFrame, labels: DataFrame, reps: DataFrame, t
     groups = F.when(F.col("is_big"), of_big).otherwise(F.concat(with_small, with_big))
     dealt = rows.select(*_LEFT, "rep", "part", F.explode(groups).alias("g")).select(*_LEFT, "g.x", "g.y", "rep", "part")
     wanted = open_.select(F.col("rep").alias("doc_id")).distinct()
-    folded = written(texts.join(wanted, "doc_id").select("doc_id", "text").mapInArrow(_folded(size), "rep long, folded binary"), "folded")
+    folded = written(texts.join(wanted.hint("merge"), "doc_id").select("doc_id", "text").mapInArrow(_folded(size), "rep long, folded binary"), "folded")
     placed = dealt.join(able.join(folded, "rep"), "rep").repartition(*_LEFT, "x", "y").sortWithinPartitions(*_LEFT, "x", "y")
     row = placed.select(*_LEFT, "x", "y", "rep", "part", "n_shingles", "shared", "signature", "lefts", "folded")
     return written(row.mapInArrow(_compare(percent), "a long, b long").distinct(), "pairs")
@@ -261,10 +264,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     keys = written(table_keys(reps), "keys")
     leaders = keys.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
     first = written(keys.join(leaders, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "first")
-    plain = texts.where("text IS NOT NULL")
-    links = confirmed(plain, first, size, percent)
+    met = keys.select(F.col("rep").alias("doc_id")).distinct()
+    near = written(texts.where("text IS NOT NULL").join(met.hint("merge"), "doc_id").select("doc_id", "text"), "near")
+    links = confirmed(near, first, size, percent)
     labels = components(links)
-    more = confirmed(plain, cross_component_pairs(keys, labels, reps, plain, size, percent), size, percent)
+    more = confirmed(near, cross_component_pairs(keys, labels, reps, near, size, percent), size, percent)
     links = links.unionByName(more)
     if not more.isEmpty():
         labels = components(links)

@@ -19,7 +19,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Pieces that a worker remembers; then it starts afresh.
-REMEMBERED = 1 << 21
+REMEMBERED = 1 << 19
 #: Code points with the property White_Space (fixed values of the Unicode standard).
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
