@@ -132,8 +132,9 @@ def _confirm(size: int, percent: int):
 
 def confirmed(texts: DataFrame, pairs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar enough. a's text goes once to every block of BLOCK partners."""
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = pairs.join(counts, "a").select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"))
+    # written, so that the join below shuffles both sides afresh and a leader with very many partners can be split
+    counts = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    members = pairs.join(counts.hint("merge"), "a").select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"))
     leaders = counts.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"))
     wanted = written(members.unionByName(leaders), "wanted")
     rows = texts.join(wanted.hint("merge"), "doc_id").repartition("a", "block").sortWithinPartitions("a", "block", "role", "doc_id")
