@@ -172,13 +172,22 @@ def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     )
 
 
+def _may_match(text: str) -> Column:
+    """False only for texts without any match: each pattern needs a digit, an @, or one of these words. Far cheaper than the patterns."""
+    out = F.col(text).rlike("[0-9@]")
+    for word in ("AKIA", "password=", 'token = "', *MALE, *FEMALE):
+        out = out | F.col(text).contains(word)
+    return out
+
+
 def _matches(text: str) -> Column:
-    return F.regexp_extract_all(F.col(text), F.lit(PATTERN), 0)
+    found = F.regexp_extract_all(F.col(text), F.lit(PATTERN), 0)
+    return F.when(_may_match(text), found).when(F.col(text).isNotNull(), F.array().cast("array<string>"))
 
 
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     """Every (kind, value) of the corpus once."""
-    found = docs.where(F.col(text).rlike(PATTERN)).select(F.explode(F.flatten(F.transform(_matches(text), values_of))).alias("p"))
+    found = docs.where(_may_match(text)).select(F.explode(F.flatten(F.transform(_matches(text), values_of))).alias("p"))
     return found.where("p.kind <> 'keep'").select("p.kind", "p.value").distinct()
 
 
@@ -207,7 +216,7 @@ def replaced(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     attempt_of = F.lit(None).cast("map<string,int>")
     if not again.isEmpty():
         keyed = docs.withColumn("_text_key", F.struct(F.xxhash64(F.lit(1), F.col(text)).alias("a"), F.xxhash64(F.lit(2), F.col(text)).alias("b")))
-        held = keyed.where(F.col(text).rlike(PATTERN)).select("_text_key", F.explode(F.flatten(F.transform(_matches(text), values_of))).alias("p")).select("_text_key", "p.kind", "p.value").distinct()
+        held = keyed.where(_may_match(text)).select("_text_key", F.explode(F.flatten(F.transform(_matches(text), values_of))).alias("p")).select("_text_key", "p.kind", "p.value").distinct()
         late = held.join(again, ["kind", "value"]).groupBy("_text_key").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "kind", "value"), F.col("attempt")))).alias("_attempts"))
         named, attempt_of = keyed.join(late, "_text_key", "left"), F.col("_attempts")
 
