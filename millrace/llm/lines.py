@@ -9,6 +9,10 @@ kept. Windows that are not first, adjoining or overlapping, extend one another i
 So exactly those lines go that lie in a run of at least `window` consecutive lines (blank ones aside) that also occurs
 earlier, in a document of smaller doc_id or before in the same one. Line names have 128 bits.
 
+With `chars`, runs of fewer than `window` lines go too once their lines hold that many characters together (blanks at the ends of
+a line aside), in documents of any number of lines: so a repeated paragraph of 51 words or more, at least 101 characters, never
+stays. `op10_passages` asks for that; `op10_lines` and the pipeline don't, as their SQL and tests fix the plain rule.
+
 Defined cases: null text has no lines and stays null; blank lines are never deleted; rows equal in doc_id and text are one
 document; a null doc_id comes first; other columns are kept as they are.
 """
@@ -21,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import documents, written
 
 WINDOW = 3
+#: Characters from which on a passage of fewer lines is a run (in op10_passages).
+CHARS = 100
 _KEY = "_line_key"
 
 
@@ -38,39 +44,54 @@ def _content(lines: Column) -> Column:
     return F.array_compact(places)
 
 
-def windows(docs: DataFrame, window: int, text: str, doc_id: str) -> DataFrame:
-    """A row per window: key of its document, number of its first line, its fingerprint, where that is, and its name."""
+def windows(docs: DataFrame, window: int, text: str, doc_id: str, chars: int | None = None) -> DataFrame:
+    """A row per window: key of its document, number of its first line, its size, its fingerprint, where that is, and its name."""
     lines = docs.select(_key(doc_id, text).alias("key"), F.filter(_lines(text), lambda x: F.trim(x) != "").alias("lines"))
-    hashed = lines.where(F.size("lines") >= window).select("key", F.transform("lines", lambda x: F.xxhash64(F.lit(1), x)).alias("a"), F.transform("lines", lambda x: F.xxhash64(F.lit(2), x)).alias("b"))
+    least = window if chars is None else 1
+    hashed = lines.where(F.size("lines") >= least).select(
+        "key", F.transform("lines", lambda x: F.xxhash64(F.lit(1), x)).alias("a"), F.transform("lines", lambda x: F.xxhash64(F.lit(2), x)).alias("b"),
+        F.transform("lines", lambda x: F.length(F.trim(x))).alias("n"),
+    )
 
-    def at(i: Column) -> Column:
-        part = F.slice("a", i + 1, window)
+    def at(i: Column, size: int) -> Column:
+        part = F.slice("a", i + 1, size)
         low = F.array_min(part)
         return F.struct(
-            i.alias("line"), low.alias("mark"), (i + F.lit(window) - F.array_position(F.reverse(part), low)).alias("place"),
-            F.xxhash64(*[F.element_at("a", (i + k + 1).cast("int")) for k in range(window)]).alias("a"), F.xxhash64(*[F.element_at("b", (i + k + 1).cast("int")) for k in range(window)]).alias("b"),
+            i.alias("line"), F.lit(size).alias("size"), low.alias("mark"), (i + F.lit(size) - F.array_position(F.reverse(part), low)).alias("place"),
+            F.xxhash64(*[F.element_at("a", (i + k + 1).cast("int")) for k in range(size)]).alias("a"), F.xxhash64(*[F.element_at("b", (i + k + 1).cast("int")) for k in range(size)]).alias("b"),
         )
 
-    return hashed.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.size("a") - window), at)).alias("w")).select("key", "w.*")
+    def held(i: Column, size: int) -> Column:
+        return sum((F.element_at("n", (i + k + 1).cast("int")) for k in range(size)), F.lit(0)) >= chars
+
+    def of(size: int) -> Column:
+        places = F.when(F.size("a") >= size, F.sequence(F.lit(0), F.size("a") - size)).otherwise(F.array().cast("array<int>"))
+        if size < window:
+            places = F.filter(places, lambda i: held(i, size))
+        if size > least:  # where both smaller windows are runs, they repeat with this one and hold all of its lines
+            places = F.filter(places, lambda i: ~(held(i, size - 1) & held(i + 1, size - 1)))
+        return F.transform(places, lambda i: at(i, size))
 
+    return hashed.select("key", F.explode(F.concat(*[of(size) for size in range(least, window + 1)])).alias("w")).select("key", "w.*")
 
-def repeated(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(key, _starts): for each document, the first lines of its windows that occur earlier."""
-    every = written(windows(docs, window, text, doc_id).distinct(), "windows")
+
+def repeated(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id", chars: int | None = None) -> DataFrame:
+    """(key, _starts): for each document, the first lines and sizes of its windows that occur earlier."""
+    every = written(windows(docs, window, text, doc_id, chars).distinct(), "windows")
     marks = every.select("key", "mark", "place").distinct().groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
     order = F.struct("key", "line")
-    kinds = every.groupBy("mark", "a", "b").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = kinds.join(marks, "mark", "left_semi").select("a", "b", "first")
-    later = every.join(first, ["a", "b"]).where(order != F.col("first"))
-    return later.groupBy("key").agg(F.collect_list("line").alias("_starts"))
+    kinds = every.groupBy("mark", "size", "a", "b").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = kinds.join(marks, "mark", "left_semi").select("size", "a", "b", "first")
+    later = every.join(first, ["size", "a", "b"]).where(order != F.col("first"))
+    return later.groupBy("key").agg(F.collect_list(F.struct("line", "size")).alias("_starts"))
 
 
-def deduplicated(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def deduplicated(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id", chars: int | None = None) -> DataFrame:
     """All columns of docs, the text without its later repeated runs, and n_lines, n_removed, n_runs."""
-    starts = repeated(docs, window, text, doc_id)
+    starts = repeated(docs, window, text, doc_id, chars)
     joined = docs.withColumn(_KEY, _key(doc_id, text)).join(starts.withColumnRenamed("key", _KEY), _KEY, "left")
     lines = F.col("_lines")
-    gone = F.array_sort(F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + (window - 1))))))
+    gone = F.array_sort(F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s["line"], s["line"] + s["size"] - 1)))))
     removed = F.when(F.col("_starts").isNull(), F.array().cast("array<int>")).otherwise(gone)
     plain = joined.withColumn("_lines", _lines(text)).withColumn("_gone", removed)
     content = _content(lines)
@@ -90,11 +111,19 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
     return deduplicated(docs, **options).where(~emptied).select(*docs.columns)
 
 
-def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = deduplicated(documents(spark, sf_dir).select("doc_id", "text"))
+def _digests(done: DataFrame) -> DataFrame:
     return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("_n_runs").alias("n_runs"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digests(deduplicated(documents(spark, sf_dir).select("doc_id", "text")))
+
+
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op10_lines, and repeated passages of one or two lines from CHARS characters on."""
+    return _digests(deduplicated(documents(spark, sf_dir).select("doc_id", "text"), chars=CHARS))
+
+
 SQL = f"""
 WITH line AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL

@@ -7,7 +7,7 @@ from .decontaminate import op3_decontaminate
 from .imatch import op6_imatch
 from .langid import op8_langid
 from .lines import SQL as LINES_SQL
-from .lines import op10_lines
+from .lines import op10_lines, op10_passages
 from .neardup import op4_neardup
 from .packing import op1_pack
 from .repair import op9_repair
@@ -25,6 +25,7 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_repair": op9_repair,
     "op10_lines": op10_lines,
+    "op10_passages": op10_passages,
 }
 ORACLE: dict[str, str] = {
     "op10_lines": LINES_SQL,
