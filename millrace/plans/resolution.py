@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import html as H
+from ..operators import frontier as C
 from ..operators import graph as G
 from ..operators import relational as R
 from ..operators import resolve as E
@@ -91,3 +93,10 @@ def link_frontier(t: Tables):
     """One round of a bounded crawl: links found on known pages, by how many pages have them."""
     links = t.pages.where("page_id < 40").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)).alias("href"))
     return links.where(F.col("href").startswith("/")).groupBy("href").agg(F.countDistinct("page_id").alias("pages"))
+
+
+@query()
+def site_frontier(t: Tables):
+    """A crawl of every site from all of its known pages, as deep as the survey's and without its bound on pages and paths, so that no page is left out."""
+    links = t.pages.select("page_id", F.posexplode(H.parsed("html")["links"]).alias("at", "l")).select("page_id", "at", F.col("l.href").alias("href"))
+    return C.crawled(t.pages.select("page_id", "url"), links, t.pages.select(F.col("page_id").alias("at"), "url"), max_pages=None, prefixes=None)
