@@ -33,6 +33,12 @@ def fuzzy_components(t: Tables):
     return G.connected_components(edges)
 
 
+@query()
+def part_supplier_components(t: Tables):
+    """Parts (even ids) and suppliers (odd ids) linked by any line of an order, over the whole table."""
+    return G.connected_components(t.lineitem.select((2 * F.col("l_partkey")).alias("a"), (2 * F.col("l_suppkey") + 1).alias("b")).distinct())
+
+
 _GRAMS = "list_distinct(flatten(list_transform(string_split(lower(name), ' '), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 
 
