@@ -1,7 +1,7 @@
 """Surrogates for personal data, in DataFrame functions only.
 
 Detected are e-mail addresses, IPv4 addresses, card, phone, social security and IBAN numbers, secrets (access keys, values of
-`password=` and `token = "..."`) and persons named behind a title. A match is taken apart into values of a kind: an address into
+`password=` and `token = "..."` in any case and of any length) and persons named behind a title. A match is taken apart into values of a kind: an address into
 its local part and its domain, a person into title, given name and surname. Each value is replaced by a function of a secret key, its kind and
 itself, so equal values have equal surrogates everywhere (Mr John Doe and Mr Doe share a surname). Surrogates keep the format: letters
 stay letters of the same script and case, digits digits, separators where they are; addresses stay in range, a card
@@ -28,17 +28,17 @@ KEY = "millrace"
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Signor", "Sir", "господин", "κύριος"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Señora", "Señorita", "Signora", "госпожа", "κυρία"]
 LATIN, CYRILLIC, GREEK = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω"
-_NAME = r"\p{Lu}[\p{L}'’-]{1,40}"
+_NAME = r"\p{Lu}[\p{L}'’-]++"
 _TITLE = rf"(?<!\p{{L}})(?:{'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))})\.? "
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PARTS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}(?![A-Za-z0-9-])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
     "card": r"(?<![\d])(?:\d{13,16}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4})(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\d])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<=password=)[^\s\"',;]{4,200}|(?<=token = \")[0-9A-Za-z_.-]{8,200}",
+    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<=(?i:password)=)[^\s\"',;]{4,}+|(?<=(?i:token) = \")[0-9A-Za-z_.-]{8,}+",
     "person": rf"{_TITLE}{_NAME}(?: {_NAME})?",
 }
 PATTERN = "|".join(PARTS.values())
@@ -175,9 +175,9 @@ def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
 def _may_match(text: str) -> Column:
     """False only for texts without any match: each pattern needs a digit, an @, or one of these words. Far cheaper than the patterns."""
     out = F.col(text).rlike("[0-9@]")
-    for word in ("AKIA", "password=", 'token = "', *MALE, *FEMALE):
+    for word in ("AKIA", *MALE, *FEMALE):
         out = out | F.col(text).contains(word)
-    return out
+    return out | F.col(text).rlike(r'(?i:password)=|(?i:token) = "')
 
 
 def _matches(text: str) -> Column:
