@@ -122,6 +122,13 @@ def cross_name_conflict(t: Tables):
     return a.join(b, (a["name"] == b["n"]) & (a["brand"] != b["other"])).select("name", "brand", "other").distinct()
 
 
+@query("SELECT DISTINCT a.p_name AS name, a.p_brand AS brand, b.p_brand AS other FROM (SELECT DISTINCT p_name, p_brand FROM part) a JOIN (SELECT DISTINCT p_name, p_brand FROM part) b ON a.p_name = b.p_name AND a.p_brand <> b.p_brand")
+def all_name_conflicts(t: Tables):
+    a = t.part.select(F.col("p_name").alias("name"), F.col("p_brand").alias("brand")).distinct()
+    b = a.select(F.col("name").alias("n"), F.col("brand").alias("other"))
+    return a.join(b, (a["name"] == b["n"]) & (a["brand"] != b["other"])).select("name", "brand", "other").distinct()
+
+
 @query("SELECT p_partkey, word FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) WHERE word IN ('red', 'ring', 'gear')")
 def unnest_join(t: Tables):
     return t.part.select("p_partkey", F.explode(F.split("p_name", " ")).alias("word")).where(F.col("word").isin("red", "ring", "gear"))
@@ -155,6 +162,12 @@ def suppressed_union(t: Tables):
     return R.with_suppressed(stored, t.events.select(F.col("user_id").alias("id")).distinct().withColumn("origin", F.lit("events")), ["id"])
 
 
+@query("SELECT o_custkey AS id, 'orders' AS origin FROM (SELECT DISTINCT o_custkey FROM orders) UNION ALL SELECT DISTINCT user_id, 'events' FROM events WHERE user_id NOT IN (SELECT o_custkey FROM orders)")
+def all_suppressed_union(t: Tables):
+    stored = t.orders.select(F.col("o_custkey").alias("id")).distinct().withColumn("origin", F.lit("orders"))
+    return R.with_suppressed(stored, t.events.select(F.col("user_id").alias("id")).distinct().withColumn("origin", F.lit("events")), ["id"])
+
+
 @query("SELECT s_suppkey, s_acctbal >= 0 AND s_nationkey < 20 AS valid, CASE WHEN s_acctbal < 0 AND s_nationkey >= 20 THEN 'balance,nation' WHEN s_acctbal < 0 THEN 'balance' WHEN s_nationkey >= 20 THEN 'nation' ELSE '' END AS reasons FROM supplier")
 def validation_split(t: Tables):
     good, bad = R.validated(t.supplier, {"balance": F.col("s_acctbal") >= 0, "nation": F.col("s_nationkey") < 20})

@@ -78,6 +78,18 @@ def resolver_decisions(t: Tables):
     return seen.select("p_name", kind.alias("kind"), F.array_join(reasons, ",").alias("reasons"))
 
 
+@query("""
+WITH c AS (SELECT p_name, count(DISTINCT p_brand) AS owners, bool_or(p_size > 49) AS conflicts, count(*) FILTER (WHERE p_type = 'PROMO') AS near, min(length(p_name)) <= 8 AS short FROM part GROUP BY 1),
+d AS (SELECT p_name, owners % 3 AS owners, conflicts, near % 2 AS near, short FROM c)
+SELECT p_name, CASE WHEN owners > 1 THEN 'review' WHEN owners = 1 AND NOT conflicts THEN 'existing' WHEN owners = 1 THEN 'review' WHEN near > 0 THEN 'review' ELSE 'new' END AS kind,
+  concat_ws(',', CASE WHEN owners > 1 THEN 'ambiguous_owner' END, CASE WHEN owners = 1 AND conflicts THEN 'conflicting_evidence' END, CASE WHEN owners = 0 AND near > 0 AND short THEN 'short_name' END, CASE WHEN owners = 0 AND near > 0 THEN 'similar_name' END) AS reasons FROM d
+""")
+def all_resolver_decisions(t: Tables):
+    seen = t.part.groupBy("p_name").agg((F.countDistinct("p_brand") % 3).alias("owners"), F.bool_or(F.col("p_size") > 49).alias("conflicts"), (F.count_if(F.col("p_type") == "PROMO") % 2).alias("near"), (F.min(F.length("p_name")) <= 8).alias("short"))
+    kind, reasons = E.decision(F.col("owners"), F.col("conflicts"), F.lit(True), F.col("near"), F.col("short"))
+    return seen.select("p_name", kind.alias("kind"), F.array_join(reasons, ",").alias("reasons"))
+
+
 @query("""
 WITH f AS (SELECT 'shared_name' AS code, 'high' AS severity, p_name AS subject FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) > 1
 UNION ALL SELECT 'unlabelled', 'low', doc_id::VARCHAR FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
@@ -91,6 +103,19 @@ def audit_findings(t: Tables):
     return E.findings(("shared_name", "high", shared), ("unlabelled", "low", orphan), ("name_drift", "medium", drift))
 
 
+@query("""
+WITH f AS (SELECT 'shared_name' AS code, 'high' AS severity, p_name AS subject FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) > 1
+UNION ALL SELECT 'unlabelled', 'low', doc_id::VARCHAR FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT 'name_drift', 'medium', c_custkey::VARCHAR FROM customer WHERE lower(c_name) <> c_name)
+SELECT *, sha256(code || '|' || subject) AS finding_id FROM f
+""")
+def all_audit_findings(t: Tables):
+    shared = R.shared_keys(t.part, "p_name", "p_brand").select(F.col("p_name").alias("subject"))
+    orphan = R.orphans(t.documents.select("doc_id"), t.labels, "doc_id", "doc_id").select(F.col("doc_id").alias("subject"))
+    drift = t.customer.where("lower(c_name) <> c_name").select(F.col("c_custkey").alias("subject"))
+    return E.findings(("shared_name", "high", shared), ("unlabelled", "low", orphan), ("name_drift", "medium", drift))
+
+
 @query("""
 WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages WHERE page_id < 40)
 SELECT href, count(DISTINCT page_id) AS pages FROM l WHERE starts_with(href, '/') GROUP BY href
