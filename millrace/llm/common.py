@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
@@ -20,19 +21,20 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; where that is unset (tests), an own one."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where that is unset, a local session (tests) gets a
+    temporary folder; on a cluster executors could not see one, so there it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="millrace-")
         atexit.register(shutil.rmtree, where.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: computed once, and lineage ends there."""
+def _write(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")  # what was shuffled for the table goes as soon as the table is there
     try:
@@ -42,9 +44,51 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again: computed once, and lineage ends there. The table stays, since what is made
+    from it is computed later."""
+    return _write(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
+class Scratch:
+    """Tables in the shared folder that go when the block ends: what is made from them must be written by then."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        return _write(df, f"{self.path}/{self.n}-{name}")
+
+    def __exit__(self, *error) -> None:
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key with more than this share of the rows is heavy: there are at most HEAVY of them, whatever the table.
+HEAVY, SALTS = 256, 64
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread_by: list[str], total: int, how: str = "inner") -> DataFrame:
+    """big joined with small on the keys `on`, all rows kept whole. small has one row per key and, as n, how many rows of big have
+    that key; total is the number of big's rows. A key with more than total / HEAVY rows is spread over SALTS tasks by the columns
+    spread_by. Only those keys are broadcast, HEAVY rows at most."""
+    heavy = F.broadcast(small.where(F.col("n") * HEAVY > total).select(*on, F.lit(SALTS).alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    left = big.join(heavy, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread_by), salts).cast("int")).drop("_salts")
+    right = small.join(heavy, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts", "n")
+    return left.join(right.hint("merge"), [*on, "_salt"], how).drop("_salt")
+
+
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """Arrow batches of few rows, as texts may be long. DataFrames are lazy, so this stays set; what a user has set stays too."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if key not in spark.conf.getAll:
+            spark.conf.set(key, value)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,6 +211,17 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+def fresh_names(names: list[str], taken: list[str]) -> list[str]:
+    """The names, each with underscores in front until no column has it."""
+    there = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in there:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def kept_rows(docs: DataFrame, text: str, keep) -> DataFrame:
     """The rows, with all their columns, for which keep(bytes, offsets) of the text column is true."""
     names = docs.columns

@@ -1,20 +1,23 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions only.
 
 The lines of a text that are not blank have hashes; of every `window` consecutive ones the smallest hash (the last of equal
-ones) is selected as a fingerprint. So two equal runs of at least `window` lines always share a selected fingerprint at the
-same place of the run. Fingerprints that occur once rule their windows out. The others are joined on position: each
-window around a repeated fingerprint is named by its lines' hashes, and its first occurrence in order of (doc_id, line) is
-kept. Windows that are not first, adjoining or overlapping, extend one another in both directions into maximal runs, and those lines go.
+ones) is selected. Only selected places are stored, as fingerprints: two equal runs of at least `window` lines always have one
+in common, at the same place of the run. Fingerprints are joined on their hash, and those that occur once are ruled out with
+all windows that selected them. A match at a fingerprint is extended in both directions, by the lines before and behind it
+in each window that selected it: its extensions are named by all their lines, and the first occurrence of a name in order of
+(doc_id, line) is kept. Later ones chain, adjoining or overlapping, into maximal runs, and those lines go.
 
 So exactly those lines go that lie in a run of at least `window` consecutive lines (blank ones aside) that also occurs
-earlier, in a document of smaller doc_id or before in the same one. Line names have 128 bits.
+earlier, in a document of smaller doc_id or before in the same one. Line names have 128 bits. A fingerprint or window that
+holds a good part of all rows is spread over tasks (`salted_join`).
 
 With `chars`, runs of fewer than `window` lines go too once their lines hold that many characters together (blanks at the ends of
 a line aside), in documents of any number of lines: so a repeated paragraph of 51 words or more, at least 101 characters, never
 stays. `op10_passages` asks for that; `op10_lines` and the pipeline don't, as their SQL and tests fix the plain rule.
 
 Defined cases: null text has no lines and stays null; blank lines are never deleted; rows equal in doc_id and text are one
-document; a null doc_id comes first; other columns are kept as they are.
+document; a null doc_id comes first; an empty table gives one; other columns are kept as they are, whatever their names. Where a
+column of that name is there already, the counts' names get a further underscore in front.
 """
 
 from __future__ import annotations
@@ -22,12 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import Scratch, documents, fresh_names, salted_join, written
 
 WINDOW = 3
 #: Characters from which on a passage of fewer lines is a run (in op10_passages).
 CHARS = 100
-_KEY = "_line_key"
+COUNTS = ["_n_lines", "_n_removed", "_n_runs"]
 
 
 def _key(doc_id: str, text: str) -> Column:
@@ -44,8 +47,9 @@ def _content(lines: Column) -> Column:
     return F.array_compact(places)
 
 
-def windows(docs: DataFrame, window: int, text: str, doc_id: str, chars: int | None = None) -> DataFrame:
-    """A row per window: key of its document, number of its first line, its size, its fingerprint, where that is, and its name."""
+def fingerprints(docs: DataFrame, window: int, text: str, doc_id: str, chars: int | None = None) -> DataFrame:
+    """A row per selected place: key of its document, the hash there (mark), the place, the size of the windows, and those windows
+    that selected it, each with its first line and its name."""
     lines = docs.select(_key(doc_id, text).alias("key"), F.filter(_lines(text), lambda x: F.trim(x) != "").alias("lines"))
     least = window if chars is None else 1
     hashed = lines.where(F.size("lines") >= least).select(
@@ -53,66 +57,96 @@ def windows(docs: DataFrame, window: int, text: str, doc_id: str, chars: int | N
         F.transform("lines", lambda x: F.length(F.trim(x))).alias("n"),
     )
 
-    def at(i: Column, size: int) -> Column:
-        part = F.slice("a", i + 1, size)
-        low = F.array_min(part)
-        return F.struct(
-            i.alias("line"), F.lit(size).alias("size"), low.alias("mark"), (i + F.lit(size) - F.array_position(F.reverse(part), low)).alias("place"),
-            F.xxhash64(*[F.element_at("a", (i + k + 1).cast("int")) for k in range(size)]).alias("a"), F.xxhash64(*[F.element_at("b", (i + k + 1).cast("int")) for k in range(size)]).alias("b"),
-        )
-
     def held(i: Column, size: int) -> Column:
         return sum((F.element_at("n", (i + k + 1).cast("int")) for k in range(size)), F.lit(0)) >= chars
 
-    def of(size: int) -> Column:
-        places = F.when(F.size("a") >= size, F.sequence(F.lit(0), F.size("a") - size)).otherwise(F.array().cast("array<int>"))
-        if size < window:
-            places = F.filter(places, lambda i: held(i, size))
-        if size > least:  # where both smaller windows are runs, they repeat with this one and hold all of its lines
-            places = F.filter(places, lambda i: ~(held(i, size - 1) & held(i + 1, size - 1)))
-        return F.transform(places, lambda i: at(i, size))
+    def selected(size: int) -> Column:
+        """For each window its selected place, null where it is no run by itself or other windows hold all of its lines."""
+
+        def place(i: Column) -> Column:
+            part = F.slice("a", i + 1, size)
+            return i + F.lit(size) - F.array_position(F.reverse(part), F.array_min(part)).cast("int")
+
+        def of(i: Column) -> Column:
+            wanted = F.lit(True)
+            if size < window:
+                wanted = wanted & held(i, size)
+            if size > least:  # where both smaller windows are runs, they repeat with this one
+                wanted = wanted & ~(held(i, size - 1) & held(i + 1, size - 1))
+            return F.when(wanted, place(i))
+
+        return F.transform(F.when(F.size("a") >= size, F.sequence(F.lit(0), F.size("a") - size)).otherwise(F.array().cast("array<int>")), of)
+
+    def name(side: str, i: Column, size: int) -> Column:
+        return F.xxhash64(*[F.element_at(side, (i + k + 1).cast("int")) for k in range(size)])
+
+    def prints(size: int) -> Column:
+        places = f"places{size}"
 
-    return hashed.select("key", F.explode(F.concat(*[of(size) for size in range(least, window + 1)])).alias("w")).select("key", "w.*")
+        def extended(p: Column) -> Column:
+            near = F.sequence(F.greatest(F.lit(0), p - size + 1), F.least(p, F.size(places) - 1))
+            own = F.filter(near, lambda i: F.element_at(places, i + 1) == p)
+            return F.struct(
+                F.element_at("a", p + 1).alias("mark"), p.alias("place"), F.lit(size).alias("size"),
+                F.transform(own, lambda i: F.struct(i.alias("line"), name("a", i, size).alias("a"), name("b", i, size).alias("b"))).alias("windows"),
+            )
+
+        return F.transform(F.array_distinct(F.array_compact(places)), extended)
+
+    sizes = range(least, window + 1)
+    placed = hashed.select("key", "a", "b", *[selected(size).alias(f"places{size}") for size in sizes])
+    return placed.select("key", F.explode(F.concat(*[prints(size) for size in sizes])).alias("f")).select("key", "f.*")
+
+
+def matches(prints: DataFrame) -> DataFrame:
+    """(key, size, line, a, b): the extensions of the fingerprints of which there are several."""
+    several = prints.groupBy("mark", "size").agg(F.count("*").alias("n")).where("n > 1")
+    common = salted_join(prints, several, ["mark", "size"], ["key", "place"], prints.count(), "left_semi")
+    return common.select("key", "size", F.explode("windows").alias("w")).select("key", "size", "w.*")
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id", chars: int | None = None) -> DataFrame:
-    """(key, _starts): for each document, the first lines and sizes of its windows that occur earlier."""
-    every = written(windows(docs, window, text, doc_id, chars).distinct(), "windows")
-    marks = every.select("key", "mark", "place").distinct().groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
-    order = F.struct("key", "line")
-    kinds = every.groupBy("mark", "size", "a", "b").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = kinds.join(marks, "mark", "left_semi").select("size", "a", "b", "first")
-    later = every.join(first, ["size", "a", "b"]).where(order != F.col("first"))
-    return later.groupBy("key").agg(F.collect_list(F.struct("line", "size")).alias("_starts"))
+    """(key, starts): for each document, the first lines and sizes of its windows that occur earlier."""
+    with Scratch(docs.sparkSession, "lines") as tmp:
+        found = tmp.written(matches(tmp.written(fingerprints(docs, window, text, doc_id, chars), "fingerprints")), "matches")
+        order = F.struct("key", "line")
+        kinds = found.groupBy("size", "a", "b").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
+        later = salted_join(found, kinds, ["size", "a", "b"], ["key", "line"], found.count()).where(order != F.col("first"))
+        return written(later.groupBy("key").agg(F.collect_set(F.struct("line", "size")).alias("starts")), "starts")
+
+
+def _rewritten(docs: DataFrame, window: int, text: str, doc_id: str, chars: int | None) -> DataFrame:
+    """docs' columns as c0, c1, ..., then n_lines, n_removed, n_runs."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text, doc_id = (f"c{docs.columns.index(c)}" for c in (text, doc_id))
+    starts = repeated(plain, window, text, doc_id, chars)
+    joined = plain.withColumn("key", _key(doc_id, text)).join(starts, "key", "left")
+    gone = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s["line"], s["line"] + s["size"] - 1)))))
+    removed = F.when(F.col("starts").isNull(), F.array().cast("array<int>")).otherwise(gone)
+    cut = joined.withColumn("lines", _lines(text)).withColumn("gone", removed).withColumn("content", _content(F.col("lines")))
+    places = F.transform("gone", lambda g: F.element_at("content", g + 1))
+    keep = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), places)
+    rebuilt = F.array_join(F.transform(keep, lambda p: F.element_at("lines", p + 1)), "\n")
+    runs = F.size(F.filter("gone", lambda g, i: (i == 0) | (F.element_at("gone", F.when(i == 0, F.lit(1)).otherwise(i).cast("int")) != g - 1)))
+    named = [F.when(F.size("gone") > 0, rebuilt).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in plain.columns]
+    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size("content"))
+    return cut.select(*named, n_lines.cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), runs.cast("long").alias("n_runs"))
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id", chars: int | None = None) -> DataFrame:
-    """All columns of docs, the text without its later repeated runs, and n_lines, n_removed, n_runs."""
-    starts = repeated(docs, window, text, doc_id, chars)
-    joined = docs.withColumn(_KEY, _key(doc_id, text)).join(starts.withColumnRenamed("key", _KEY), _KEY, "left")
-    lines = F.col("_lines")
-    gone = F.array_sort(F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s["line"], s["line"] + s["size"] - 1)))))
-    removed = F.when(F.col("_starts").isNull(), F.array().cast("array<int>")).otherwise(gone)
-    plain = joined.withColumn("_lines", _lines(text)).withColumn("_gone", removed)
-    content = _content(lines)
-    places = F.transform("_gone", lambda g: F.element_at("_content", g + 1))
-    keep = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), places)
-    rebuilt = F.array_join(F.transform(keep, lambda p: F.element_at("_lines", p + 1)), "\n")
-    runs = F.size(F.filter("_gone", lambda g, i: (i == 0) | (F.element_at("_gone", F.when(i == 0, F.lit(1)).otherwise(i).cast("int")) != g - 1)))
-    named = [F.when(F.size("_gone") > 0, rebuilt).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns]
-    return plain.withColumn("_content", content).select(
-        *named, F.when(F.col(text).isNull(), 0).otherwise(F.size("_content")).cast("long").alias("_n_lines"), F.size("_gone").cast("long").alias("_n_removed"), runs.cast("long").alias("_n_runs")
-    )
+    """All columns of docs, the text without its later repeated runs, and the COUNTS (names as said above)."""
+    return _rewritten(docs, window, text, doc_id, chars).toDF(*docs.columns, *fresh_names(COUNTS, docs.columns))
 
 
-def without_repeats(docs: DataFrame, **options) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id", chars: int | None = None) -> DataFrame:
     """The documents, without later repeated runs; a document of which nothing is left goes."""
-    emptied = (F.col("_n_removed") > 0) & (F.col("_n_removed") == F.col("_n_lines"))
-    return deduplicated(docs, **options).where(~emptied).select(*docs.columns)
+    done = _rewritten(docs, window, text, doc_id, chars).where("n_removed = 0 OR n_removed < n_lines")
+    return done.drop("n_lines", "n_removed", "n_runs").toDF(*docs.columns)
 
 
 def _digests(done: DataFrame) -> DataFrame:
-    return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("_n_runs").alias("n_runs"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    names = dict(zip(["n_lines", "n_removed", "n_runs"], COUNTS, strict=True))
+    return done.select("doc_id", *[F.col(own).alias(n) for n, own in names.items()], F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
