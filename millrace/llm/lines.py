@@ -120,7 +120,7 @@ def _rewritten(docs: DataFrame, window: int, text: str, doc_id: str, chars: int
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     text, doc_id = (f"c{docs.columns.index(c)}" for c in (text, doc_id))
     starts = repeated(plain, window, text, doc_id, chars)
-    joined = plain.withColumn("key", _key(doc_id, text)).join(starts, "key", "left")
+    joined = plain.withColumn("key", _key(doc_id, text)).join(starts.hint("merge"), "key", "left")  # alike at every size
     gone = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s["line"], s["line"] + s["size"] - 1)))))
     removed = F.when(F.col("starts").isNull(), F.array().cast("array<int>")).otherwise(gone)
     cut = joined.withColumn("lines", _lines(text)).withColumn("gone", removed).withColumn("content", _content(F.col("lines")))
