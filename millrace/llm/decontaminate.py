@@ -6,13 +6,17 @@ the rarest in the corpus, is one shingle: the rarest. Documents are joined with
 the shingle in its window and the ends of the document bound where the window could lie (positional and length bounds);
 the words there are then compared one by one.
 
+The benchmark is broadcast in blocks of at most `BLOCK_BYTES` of text, one at a time, and the documents are read once for each:
+the larger side is never shuffled for it. Documents with hits are few rows; where there are several blocks, those of one text are
+united by a 128-bit hash of it, and a text that very many rows hold is spread over tasks.
+
 Defined cases: null and empty texts have no words and are not contaminated; an item without words has no window; equal
-items are all reported; a null doc_id stays null; other columns are not read.
+items are all reported; a null or repeated doc_id changes nothing, as verdicts belong to texts; an empty table gives one. `scan`
+reads no other columns, `clean` keeps them as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, documents, lowered, paired, runs, small_batches, spread, steps, utf8
+from .common import Rolling, Scratch, documents, lowered, paired, runs, salted_join, small_batches, spread, steps, utf8, written
 
 WINDOW, SHINGLE = 13, 4
 #: A benchmark is broadcast in blocks of at most so many bytes of text.
@@ -30,7 +34,6 @@ BLOCK_BYTES = 8 << 20
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 _PATTERN = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 def item_words(text: str | None) -> list[bytes]:
@@ -149,8 +152,8 @@ def rarity(docs: DataFrame, shingles, text: str = "text") -> dict[int, int]:
     return {r["name"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in rows}
 
 
-def _hits(index: Index, data: np.ndarray, offsets: np.ndarray):
-    """For each row: words, hit words, and the items found."""
+def _hits(index: Index, data: np.ndarray, offsets: np.ndarray) -> tuple[list[int], list[list[int]], list[list[str]]]:
+    """For each row: words, numbers of the hit words, and the items found."""
     hashes, starts, ends, first = word_hashes(data, offsets)
     rows = len(offsets) - 1
     edges = np.zeros(len(hashes) + 1, np.int64)
@@ -166,8 +169,9 @@ def _hits(index: Index, data: np.ndarray, offsets: np.ndarray):
                 edges[s] += 1
                 edges[s + len(words)] -= 1
                 items[int(np.searchsorted(first, s, "right")) - 1].update(index.windows.items[w])
-    hit = np.concatenate([[0], np.cumsum(np.cumsum(edges[:-1]) > 0)])
-    return np.diff(first), hit[first[1:]] - hit[first[:-1]], items
+    hit = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
+    at = np.searchsorted(hit, first)
+    return np.diff(first).tolist(), [(hit[at[r] : at[r + 1]] - first[r]).tolist() for r in range(rows)], [sorted(x) for x in items]
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int):
@@ -182,76 +186,79 @@ def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int):
     yield block
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, text: str = "text", doc_id: str = "doc_id", item: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row per document: words, words inside an occurrence of a window, and the items with one. One pass over the
-    documents for each block of the benchmark; with several blocks, the hit intervals of a document are united."""
-    small_batches(docs.sparkSession)
-    table = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    indexes = []
-    for rows in _blocks(benchmark, item, text, block_bytes):
-        windows = Windows.of(rows, window)
-        shingles = windows.shingles(shingle)
-        indexes.append(Index(windows, shingles, rarity(table, shingles)))
-    if len(indexes) == 1:
-        return table.mapInArrow(_verdicts(indexes[0]), SCHEMA)
-    parts = None
-    for index in indexes:
-        part = table.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_intervals(index), "row long, doc_id long, n_words long, hit array<long>, items array<string>")
-        parts = part if parts is None else parts.unionByName(part)
-    grouped = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return grouped.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
-
-
-def _verdicts(index: Index):
-    none = hashlib.sha256(b"").hexdigest()
+def _found(index: Index):
+    """(n_words, hit words, items) of every row of (k0, k1, text)."""
+    hits, names = pa.list_(pa.int32()), pa.list_(pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            out = [[], [], [], []]
+            data, offsets = utf8(batch.column(2))
+            n_words, hit, items = [], [], []
             for i, j in steps(offsets):
-                words, hit, items = _hits(index, lowered(data[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i])
-                out[0] += words.tolist()
-                out[1] += hit.tolist()
-                out[2] += [len(x) for x in items]
-                out[3] += [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() if x else none for x in items]
-            bad = [h > 0 and 20 * h >= n for n, h in zip(out[0], out[1], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string()), pa.array(bad, pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+                found = _hits(index, lowered(data[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i])
+                for out, part in zip((n_words, hit, items), found, strict=True):
+                    out += part
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(n_words, pa.int64()), pa.array(hit, hits), pa.array(items, names)], _FOUND)
 
     return run
 
 
-def _intervals(index: Index):
-    """As _verdicts, with the hit words and items themselves."""
+_FOUND = ["k0", "k1", "doc_id", "n_words", "hit", "items"]
+_KEY = ["k0", "k1"]
+
+
+def _verdicts(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, text: str, doc_id: str, item: str, block_bytes: int) -> DataFrame:
+    """(k0, k1, doc_id, n_words, n_hit, items, contaminated) of every row, written; k0 and k1 name the text."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    whole = F.col(text).cast("string")
+    table = docs.select(F.xxhash64(F.lit(1), whole).alias("k0"), F.xxhash64(F.lit(2), whole).alias("k1"), whole.alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
+    schema = "k0 long, k1 long, doc_id long, n_words long, hit array<int>, items array<string>"
+    with Scratch(spark, "decontaminate") as tmp:
+        first, more = None, []
+        for rows in _blocks(benchmark, item, text, block_bytes):
+            windows = Windows.of(rows, window)
+            shingles = windows.shingles(shingle)
+            part = table.mapInArrow(_found(Index(windows, shingles, rarity(table.withColumnRenamed("text", text), shingles, text))), schema)
+            if first is None:
+                first = tmp.written(part, "first")
+            else:
+                more.append(tmp.written(part.where(F.size("hit") > 0), "more"))
+        hit, items = F.col("hit"), F.col("items")
+        if more:
+            others = more[0]
+            for part in more[1:]:
+                others = others.unionByName(part)
+            # rows of one text have equal hits in each block, so sets of sets hold no more than one row's
+            rest = others.groupBy(*_KEY).agg(F.flatten(F.collect_set("hit")).alias("hit2"), F.flatten(F.collect_set("items")).alias("items2"))
+            counts = first.groupBy(*_KEY).agg(F.count("*").alias("n"))
+            first = salted_join(first, counts.join(rest, _KEY), _KEY, ["doc_id"], first.count(), "left")
+            none = F.array()
+            hit = F.array_union(hit, F.coalesce("hit2", none.cast("array<int>")))
+            items = F.array_union(items, F.coalesce("items2", none.cast("array<string>")))
+        n_hit = F.size(hit).cast("long")
+        done = first.select(*_KEY, "doc_id", "n_words", n_hit.alias("n_hit"), F.array_sort(items).alias("items"))
+        return written(done.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))), "verdicts")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            n_words, hits, found = [], [], []
-            for i in range(batch.num_rows):
-                part = lowered(data[offsets[i] : offsets[i + 1]])
-                at = np.array([0, len(part)])
-                hashes, starts, ends, first = word_hashes(part, at)
-                raw, covered, items = part.tobytes(), np.zeros(len(hashes), bool), set()
-                for windows, where in index.occurrences(hashes, first):
-                    for w, s in zip(windows.tolist(), where.tolist(), strict=True):
-                        words = index.windows.words[w]
-                        if all(raw[starts[s + k] : ends[s + k]] == x for k, x in enumerate(words)):
-                            covered[s : s + len(words)] = True
-                            items.update(index.windows.items[w])
-                n_words.append(len(hashes))
-                hits.append(np.flatnonzero(covered).tolist())
-                found.append(sorted(items))
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0).cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))], ["row", "doc_id", "n_words", "hit", "items"])
 
-    return run
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, text: str = "text", doc_id: str = "doc_id", item: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A row per document: words, words inside an occurrence of a window, the items with one, and whether it is contaminated."""
+    done = _verdicts(docs, benchmark, window, shingle, text, doc_id, item, block_bytes)
+    return done.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "items")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
-    verdicts = scan(docs, benchmark, **options).where("contaminated").select("doc_id").distinct()
-    return docs.join(verdicts, "doc_id", "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, text: str = "text", item: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that are not contaminated, with all their columns. Each row is judged by its own text; only texts that are
+    contaminated are looked up, so where they are few (a size that the planner checks) no document is shuffled."""
+    names, plain = docs.columns, docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    own = f"c{names.index(text)}"
+    if own != text:
+        benchmark = benchmark.select(F.col(item).alias("item"), F.col(text).alias(own))
+    done = _verdicts(plain.withColumn("no_id", F.lit(None).cast("long")), benchmark, window, shingle, own, "no_id", "item", block_bytes)
+    bad = written(done.where("contaminated").select(*_KEY).distinct(), "contaminated")
+    keyed = plain.withColumn("k0", F.xxhash64(F.lit(1), F.col(own).cast("string"))).withColumn("k1", F.xxhash64(F.lit(2), F.col(own).cast("string")))
+    return keyed.join(bad, _KEY, "left_anti").drop(*_KEY).toDF(*names)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return scan(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("items")

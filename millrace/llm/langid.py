@@ -2,12 +2,14 @@
 
 For each language a bounded sample of labelled text becomes a suffix automaton. A text is parsed greedily into the longest
 phrases that occur in the sample: its number of phrases times log2 of the sample's length, per letter, estimates the
-cross entropy, and the language with the least wins. Automata are dense transition tables in which a failing transition
-already leads to where the next phrase begins and carries a mark, so that segments of many texts are parsed side by side.
+cross entropy, and the language with the least wins. Symbols are the lower-case letters of all samples, whatever their number. An
+automaton is a sparse transition table (each state's row shifted so that rows interleave); where it has no transition the next
+phrase begins, so that segments of many texts are parsed side by side.
 
-The sample is the one bounded thing: for each language the `SAMPLE_DOCS` documents with the smallest hash of their id
-among the labelled rows that may be learned from, `SAMPLE_SYMBOLS` symbols in all, and at most `ALPHABET` letters. All of
-every text is parsed, in segments of `SEGMENT` symbols.
+The sample is the one bounded thing: for each language the `SAMPLE_DOCS` labelled texts that may be learned from with the smallest
+hash of their id, those of at most `SAMPLE_SYMBOLS` characters first. They are taken whole, in that order, as long as they fit into
+`SAMPLE_SYMBOLS` letters together, others are passed over; only where none fits is the first one cut to that size. All of every
+text to be identified is parsed, in segments of `SEGMENT` symbols.
 
 Defined cases: null text, or text without a letter, gives `und` and score 0, as does everything where nothing could be
 learned; ties go to the first language in order of name; labels that are null are not learned; other columns are not read.
@@ -17,7 +19,6 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import documents, kept_rows, small_batches, steps, utf8
 from .tokens import LETTER, classes, code_points
 
-SAMPLE_DOCS, SAMPLE_SYMBOLS, ALPHABET, SEGMENT = 64, 49152, 250, 256
+SAMPLE_DOCS, SAMPLE_SYMBOLS, SEGMENT = 64, 49152, 256
 UNKNOWN = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -85,47 +86,63 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return nexts
 
 
+def sampled(texts: list[str], budget: int) -> list[int]:
+    """Letters of the texts that fit, a 0 behind each text."""
+    raw = [t.encode("utf-8", "replace") for t in texts]
+    letters, at = letters_of(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
+    out: list[int] = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if len(out) + b - a < budget:
+            out += [*letters[a:b].tolist(), 0]
+    return out or [*letters[at[0] : at[0] + budget - 1].tolist(), 0]
+
+
+class Automaton:
+    """A suffix automaton as interleaved rows: state q has a transition by c to target[base[q] + c] where owner[base[q] + c] is q.
+    root: where a phrase that begins with c leads; the last state has no transitions."""
+
+    def __init__(self, symbols: list[int], wide: int):
+        nexts = suffix_automaton(symbols)
+        sizes = np.array([len(x) for x in nexts])
+        dead, room = len(nexts), 4 * int(sizes.sum()) + 2 * wide
+        self.root = np.full(wide, dead, np.int32)
+        self.root[list(nexts[0])] = list(nexts[0].values())
+        self.base, self.owner, self.target = np.zeros(dead + 1, np.int32), np.full(room, -1, np.int32), np.zeros(room, np.int32)
+        rng = np.random.default_rng(0)
+        for q in np.argsort(-sizes, kind="stable")[: int((sizes > 1).sum())].tolist():  # the longest rows while there is most room
+            own = np.fromiter(nexts[q], np.int64, sizes[q])
+            while True:
+                tries = rng.integers(0, room - wide, 64)
+                free = np.flatnonzero((self.owner[tries[:, None] + own] < 0).all(1))
+                if len(free):
+                    break
+            self._put(q, int(tries[free[0]]), own, list(nexts[q].values()))
+        single = np.flatnonzero(sizes == 1)
+        own = np.array([next(iter(nexts[q])) for q in single.tolist()], np.int64)
+        slots = np.flatnonzero(self.owner[wide:] < 0)[: len(single)] + wide
+        self.base[single], self.owner[slots], self.target[slots] = slots - own, single, [next(iter(nexts[q].values())) for q in single.tolist()]
+
+    def _put(self, state: int, base: int, symbols: np.ndarray, targets: list[int]) -> None:
+        self.base[state], self.owner[base + symbols], self.target[base + symbols] = base, state, targets
+
+
 class Model:
-    """Samples by language; tables are built where they are used."""
+    """Samples by language; automata are built where they are used."""
 
-    def __init__(self, samples: dict[str, list[str]], sample_symbols: int = SAMPLE_SYMBOLS, alphabet: int = ALPHABET):
+    def __init__(self, samples: dict[str, list[str]], sample_symbols: int = SAMPLE_SYMBOLS):
         self.languages = sorted(samples)
-        self.texts = {}
-        counts: Counter = Counter()
-        for name, texts in samples.items():
-            share = max(1, sample_symbols // max(1, len(texts)))
-            raw = [t.encode("utf-8", "replace") for t in texts]
-            parts, at = letters_of(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
-            joined = [x for a, b in zip(at[:-1], at[1:], strict=True) for x in [*parts[a : min(b, a + share)].tolist(), 0]]
-            self.texts[name] = joined
-            counts.update(joined)
-        counts.pop(0, None)
-        self.alphabet = sorted(c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:alphabet])
-        self.key = hash((tuple(self.alphabet), *((k, tuple(v)) for k, v in sorted(self.texts.items()))))
-
-    def tables(self) -> tuple[np.ndarray, list[tuple[np.ndarray, float]]]:
-        """Letter -> symbol (0: separator, last: unknown), and for each language its transitions and the weight of a phrase."""
+        self.texts = {name: sampled(texts, sample_symbols) for name, texts in samples.items()}
+        self.alphabet = sorted({c for own in self.texts.values() for c in own} - {0})
+        self.key = hash(tuple((k, tuple(v)) for k, v in sorted(self.texts.items())))
+
+    def tables(self) -> tuple[np.ndarray, list[tuple[Automaton, float]]]:
+        """Letter -> symbol (0: separator, last: in no sample), and for each language its automaton and the weight of a phrase."""
         wide = len(self.alphabet) + 2
         symbol = np.full(0x110000, wide - 1, np.int32)
         symbol[0] = 0
         symbol[self.alphabet] = np.arange(1, wide - 1)
-        out = []
-        for name in self.languages:
-            own = symbol[np.array(self.texts[name], np.int64)]
-            nexts = suffix_automaton(own[own != wide - 1].tolist())
-            dead = len(nexts)  # after a symbol that the sample lacks, a phrase of its own
-            table = np.empty((dead + 1, wide), np.int32)
-            root = np.full(wide, dead * wide * 2, np.int32)
-            for c, q in nexts[0].items():
-                root[c] = q * wide * 2
-            table[:] = root + 1
-            rows = np.repeat(np.arange(len(nexts)), [len(x) for x in nexts])
-            columns = np.array([c for x in nexts for c in x], np.int64)
-            targets = np.array([q for x in nexts for q in x.values()], np.int64)
-            table[rows, columns] = targets * wide * 2
-            table[0] = root
-            out.append((table.ravel(), math.log2(max(2, len(own)))))
-        return symbol, out
+        own = [symbol[np.array(self.texts[name], np.int64)].tolist() for name in self.languages]
+        return symbol, [(Automaton(x, wide), math.log2(max(2, len(x)))) for x in own]
 
     def entropies(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(languages, rows) bits a symbol, and the number of letters of each row."""
@@ -143,15 +160,17 @@ class Model:
         row, start, size = row[order], start[order], size[order]
         active = np.searchsorted(-size, -np.arange(SEGMENT), "left")
         bits = np.zeros((len(tables), rows))
-        for k, (table, weight) in enumerate(tables):
-            state, phrases = np.zeros(len(row), np.int32), np.ones(len(row), np.int32)
-            for t in range(SEGMENT):
+        for k, (automaton, weight) in enumerate(tables):
+            state, phrases = automaton.root[symbols[start]], np.ones(len(row), np.int32)
+            for t in range(1, SEGMENT):
                 n = active[t]
                 if not n:
                     break
-                step = table[state[:n] + symbols[start[:n] + t]]
-                phrases[:n] += step & 1
-                state[:n] = step >> 1
+                here, c = state[:n], symbols[start[:n] + t]
+                at_row = automaton.base[here] + c
+                fails = automaton.owner[at_row] != here
+                state[:n] = np.where(fails, automaton.root[c], automaton.target[at_row])
+                phrases[:n] += fails
             bits[k] = np.bincount(row, phrases, rows) * weight / np.maximum(1, sizes)
         known = np.concatenate([[0], np.cumsum(letters != 0)])
         return bits, known[at[1:]] - known[at[:-1]]
@@ -183,18 +202,20 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Learn from labelled documents that are not held out. Only ids and labels are read to choose the sample; each task
-    passes on at most sample_docs rows of a language."""
-    usable = docs.where(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    picks = usable.select(F.col(doc_id).alias("id"), F.col(lang).alias("label"), F.xxhash64(F.col(doc_id)).alias("h"))
-    first = Window.partitionBy("label").orderBy("h", "id")
-    picks = picks.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample_docs).select("id", "label").collect()
+    """Learn from labelled documents that are not held out. Only ids, labels and hashes are read to choose the sample; each task
+    passes on at most sample_docs rows of a language, and no more than those texts reach the driver, none longer than the budget."""
+    name = F.concat_ws(":", F.xxhash64(text), F.xxhash64(doc_id), F.xxhash64(lang))
+    usable = docs.where(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+        name.alias("name"), F.col(lang).alias("label"), F.col(text).cast("string").alias("t"), (F.length(text) > SAMPLE_SYMBOLS).alias("long"), F.xxhash64(doc_id).alias("h")
+    )
+    first = Window.partitionBy("label").orderBy("long", "h", "name")
+    picks = usable.drop("t").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample_docs).collect()
     if not picks:
         return Model({})
-    ids = [r["id"] for r in picks if r["id"] is not None]
-    rows = usable.where(F.col(doc_id).isin(ids)).select(F.col(doc_id).alias("id"), F.col(lang).alias("label"), F.substring(text, 1, SAMPLE_SYMBOLS).alias("t")).collect()
+    order = {r["name"]: (r["long"], r["h"], r["name"]) for r in picks}
+    rows = usable.where(F.col("name").isin(list(order))).select("name", "label", F.substring("t", 1, SAMPLE_SYMBOLS).alias("t")).dropDuplicates(["name"]).collect()
     samples: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["id"], r["label"], r["t"])):
+    for r in sorted(rows, key=lambda r: order[r["name"]]):
         samples.setdefault(r["label"], []).append(r["t"])
     return Model(samples)
 

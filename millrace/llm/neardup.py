@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, documents, lowered, mix, paired, runs, small_batches, steps, utf8, written
+from .common import Rolling, documents, lowered, mix, paired, runs, salted_join, small_batches, steps, utf8, written
 from .components import components
 
 SHINGLE, PERCENT, HALVES = 5, 75, 16
@@ -218,9 +218,9 @@ _LEFT = ["i", "half"]
 
 
 def _mixed(named: DataFrame) -> DataFrame:
-    """The rows of buckets that hold several components."""
-    mixed = named.groupBy(*_LEFT).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(*_LEFT)
-    return named.join(mixed, _LEFT, "left_semi")
+    """The rows of buckets that hold several components. A bucket with a good part of the rows is spread over tasks."""
+    mixed = named.groupBy(*_LEFT).agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select(*_LEFT, "n")
+    return salted_join(named, mixed, _LEFT, ["rep"], named.count(), "left_semi")
 
 
 def cross_component_pairs(keys: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -228,17 +228,17 @@ def cross_component_pairs(keys: DataFrame, labels: DataFrame, reps: DataFrame, t
     alone has bound what it can share with any other: who can't reach the similarity goes."""
     met = keys.select("rep").distinct()
     named = reps.join(met, "rep", "left_semi").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    halves = named.select("rep", F.coalesce("component", "rep").alias("part"), F.posexplode("lefts").alias("i", "half"))
+    halves = written(named.select("rep", F.coalesce("component", "rep").alias("part"), F.posexplode("lefts").alias("i", "half")), "halves")
     several = written(_mixed(halves), "several")
     own = several.select(F.col("rep").alias("doc_id")).distinct()
     rows = texts.join(own.hint("merge"), "doc_id").select("doc_id", "text").mapInArrow(_shingle_rows(size), "rep long, shingle long")
     alone = rows.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).where("rep = last").groupBy("rep").agg(F.count("*").alias("alone"))
     reach = reps.join(written(alone, "alone"), "rep", "left").withColumn("shared", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
     able = reach.where(100 * F.col("shared") >= percent * F.col("n_shingles")).select("rep", "n_shingles", "shared", "signature", "lefts")
-    open_ = written(_mixed(several.join(able.select("rep"), "rep", "left_semi")), "open")
+    open_ = written(_mixed(written(several.join(able.select("rep"), "rep", "left_semi"), "reaching")), "open")
     shape = open_.groupBy(*_LEFT, "part").agg(F.count("*").alias("n")).groupBy(*_LEFT).agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("all"))
-    shape = shape.select(*_LEFT, F.col("most.part").alias("big"), F.ceil(F.col("most.n") / GROUP).cast("int").alias("n_big"), F.ceil((F.col("all") - F.col("most.n")) / GROUP).cast("int").alias("n_small"))
-    rows = open_.join(shape, _LEFT).withColumn("h", F.xxhash64("rep")).withColumn("is_big", F.col("part") == F.col("big"))
+    shape = shape.select(*_LEFT, F.col("most.part").alias("big"), F.ceil(F.col("most.n") / GROUP).cast("int").alias("n_big"), F.ceil((F.col("all") - F.col("most.n")) / GROUP).cast("int").alias("n_small"), F.col("all").alias("n"))
+    rows = salted_join(open_, shape, _LEFT, ["rep"], open_.count()).withColumn("h", F.xxhash64("rep")).withColumn("is_big", F.col("part") == F.col("big"))
     rows = rows.withColumn("own", F.pmod("h", F.when(F.col("is_big"), F.col("n_big")).otherwise(F.col("n_small"))).cast("int"))
     smalls, bigs = F.sequence(F.lit(0), F.col("n_small") - 1), F.sequence(F.lit(0), F.col("n_big") - 1)
     with_small = F.transform(smalls, lambda t: F.struct(F.least(t, F.col("own")).alias("x"), F.greatest(t, F.col("own")).alias("y")))

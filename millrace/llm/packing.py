@@ -4,8 +4,8 @@ Whole windows are cut off every document first. What is left, shorter than a win
 lengths. Combinations of at most three lengths that fill a window exactly are enumerated, their repeat counts solved
 against the histogram by non-negative least squares (multiplicative updates), rounded, and taken while the histogram has
 the lengths. The residue is packed greedily: laid end to end, longest first, and cut where a window is full; the last
-stretch is cut at powers of two. The plan is a function of the histogram alone: its size is bounded by the window and
-`max_combinations`, not by the corpus. Documents find their place in it by their rank among those of equal length, which
+stretch is cut at powers of two. The plan is a function of the histogram alone: its size is bounded by the window (of 2048
+tokens: 350,000 combinations), not by the corpus. Documents find their place in it by their rank among those of equal length, which
 is counted within each partition while the ids are written, and offset by the counts of earlier partitions.
 
 Defined cases: null and empty texts have only their end id; repeated rows are packed once each; other columns are not read.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import documents, small_batches, steps, utf8, written
 from .tokens import encoder, tokenizer_path
 
-WINDOW, END_ID, MAX_COMBINATIONS = 2048, 1, 16384
+WINDOW, END_ID = 2048, 1
 TOKENIZER = "byte_bpe_50k.json"
 TOKENS = "row long, doc_id long, n long, part int, rank long, whole long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -127,16 +127,13 @@ class Plan:
         return out
 
 
-def plan(histogram: dict[int, int], window: int = WINDOW, max_combinations: int = MAX_COMBINATIONS) -> Plan:
+def plan(histogram: dict[int, int], window: int = WINDOW) -> Plan:
     left = np.zeros(window + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
     left[0] = 0
     combos = combinations(np.flatnonzero(left), window)
     x = non_negative_least_squares(combos, left)
-    if len(combos) > max_combinations:
-        best = np.sort(np.argsort(-x, kind="stable")[:max_combinations])
-        combos, x = combos[best], x[best]
     taken = np.zeros(window + 1, np.int64)
     segments, sequence = [], 0
     order = np.argsort(-x, kind="stable").tolist()
@@ -194,7 +191,7 @@ def _pieces(plan: Plan):
     return run
 
 
-def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, tokenizer: str | None = None, text: str = "text", doc_id: str = "doc_id", max_combinations: int = MAX_COMBINATIONS) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, tokenizer: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """A row per piece: which ids of which document, in which sequence and where there. Ids are written once to the shared
     folder; a later step reads only lengths and ranks to lay out the plan, and the ids once more for the pieces."""
     spark = docs.sparkSession
@@ -204,7 +201,7 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, tokenizer:
     lengths = tokens.select("row", "part", "rank", "whole", (F.col("n") % window).alias("rest"), F.floor(F.col("n") / window).alias("full"))
     counts = lengths.groupBy("part", "rest").agg(F.count("*").alias("docs"), F.sum("full").alias("full"))
     histogram = {r["rest"]: r["docs"] for r in counts.groupBy("rest").agg(F.sum("docs").alias("docs")).collect()}
-    layout = plan(histogram, window, max_combinations)
+    layout = plan(histogram, window)
     earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
     ranks = counts.withColumn("rank_from", F.coalesce(F.sum("docs").over(earlier.partitionBy("rest").orderBy("part")), F.lit(0)))
     wholes = counts.groupBy("part").agg(F.sum("full").alias("full")).withColumn("bin", F.lit(0))

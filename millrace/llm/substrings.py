@@ -16,8 +16,9 @@ does by sorting all suffixes is done here for a sample that loses nothing, in ev
 Each level counts by hash aggregation with partial sums and joins the counts back, so a bucket is never gathered in a task.
 The final names have 128 bits.
 
-Defined cases: null is an empty text; texts shorter than `length` lose nothing; rows with equal doc_id are copies of one
-document and count as repeated; a null doc_id is treated like any other id; other columns are not read.
+Defined cases: null is an empty text; texts shorter than `length` lose nothing; equal rows are copies of one another and count
+as repeated; rows of equal doc_id and other text are documents of their own; a null doc_id is treated like any other id; an
+empty table gives one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, documents, paired, small_batches, spread, steps, utf8, written
+from .common import Rolling, Scratch, documents, paired, small_batches, spread, steps, utf8, written
 
 LENGTH, BLOCK = 400, 25
-_ANCHORS = "doc long, at int, n int, bucket long, whole long"
-_BLOCKS = "doc long, at int, n int, core long, whole long"
-_STARTS = "doc long, block int, at int, w1 long, w2 long"
-SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+#: A row of documents is known by its id and a 32-bit hash of its text.
+_ROW = ["doc", "h"]
+_ANCHORS = "doc long, h int, at int, n int, bucket long, whole long"
+_BLOCKS = "doc long, h int, at int, n int, core long, whole long"
+_STARTS = "doc long, h int, block int, at int, w1 long, w2 long"
+SCHEMA = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
 
 
 def bucket_names(data: np.ndarray, size: int) -> np.ndarray:
@@ -88,8 +91,8 @@ def _stretches(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            doc = batch.column(0).to_numpy(zero_copy_only=False)
+            data, offsets = utf8(batch.column(2))
+            doc, text_hash = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
             for i, j in steps(offsets):
                 part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 if len(part) < length:
@@ -98,23 +101,23 @@ def _stretches(length: int):
                 start, n, anchor = anchors(names, at, length)
                 row = np.searchsorted(at, start, "right") - 1
                 whole = paired(_name(names, start, start + n - 1 + length, half), (anchor - start).astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(doc[i + row]), pa.array((start - at[row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(names[anchor].view(np.int64)), pa.array(whole.view(np.int64))], [f.split()[0] for f in _ANCHORS.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[i + row]), pa.array(text_hash[i + row]), pa.array((start - at[row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(names[anchor].view(np.int64)), pa.array(whole.view(np.int64))], [f.split()[0] for f in _ANCHORS.split(", ")])
 
     return run
 
 
 def _per_row(batches: Iterator[pa.RecordBatch], length: int, rows: Callable[..., list[np.ndarray]], schema: str) -> Iterator[pa.RecordBatch]:
-    """rows(names, bytes, first starts, counts) of each document, all but the document's id."""
+    """rows(names, bytes, first starts, counts) of each document, all but the document's id and hash."""
     fields = [f.split() for f in schema.split(", ")]
     kinds = {"int": pa.int32(), "long": pa.int64()}
     for batch in batches:
-        data, offsets = utf8(batch.column(1))
+        data, offsets = utf8(batch.column(2))
         out: list[list[np.ndarray]] = [[] for _ in fields]
-        for k, (doc, at, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+        for k, (doc, text_hash, at, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4)), strict=True)):
             part = data[offsets[k] : offsets[k + 1]]
             order = np.lexsort((n, at))
             found = rows(bucket_names(part, length // 2), part, np.array(at, np.int64)[order], np.array(n, np.int64)[order])
-            for column, values in zip(out, [np.full(len(found[0]), doc), *found], strict=True):
+            for column, values in zip(out, [np.full(len(found[0]), doc), np.full(len(found[0]), text_hash), *found], strict=True):
                 column.append(values)
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(kinds[f[1]]) for c, f in zip(out, fields, strict=True)], [f[0] for f in fields])
@@ -156,72 +159,67 @@ def _starts(length: int):
     return lambda batches: _per_row(batches, length, of, _STARTS)
 
 
-def _level(table: DataFrame, bucket: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """Of a level's rows: (doc, at, n) that are repeated whole; and one row of each kind, from buckets that hold several kinds.
+def _level(tmp: Scratch, table: DataFrame, bucket: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """Of a level's rows: (doc, h, at, n) that are repeated whole; and one row of each kind, from buckets that hold several kinds.
 
     A kind that is repeated goes on too, by one row: others of its bucket may share strings with it."""
-    kinds = written(table.groupBy(bucket, "whole").agg(F.count("*").alias("members"), F.min(F.struct("doc", "at", "n")).alias("first")), f"{name}-kinds")
+    kinds = tmp.written(table.groupBy(bucket, "whole").agg(F.count("*").alias("members"), F.min(F.struct("doc", "h", "at", "n")).alias("first")), f"{name}-kinds")
     several = kinds.groupBy(bucket).agg(F.count("*").alias("kinds")).where("kinds > 1").select(bucket)
     open_ = kinds.join(several, bucket, "left_semi").select("first.*")
-    whole = table.join(kinds.where("members > 1").select(bucket, "whole"), [bucket, "whole"], "left_semi").select("doc", "at", "n")
-    return written(whole, f"{name}-whole"), open_
+    whole = table.join(kinds.where("members > 1").select(bucket, "whole"), [bucket, "whole"], "left_semi").select("doc", "h", "at", "n")
+    return tmp.written(whole, f"{name}-whole"), open_
 
 
 def _with_text(texts: DataFrame, rows: DataFrame) -> DataFrame:
-    """(doc, text, at, n): a document's rows beside its text. Rows of one document are no more than its bytes."""
-    own = rows.distinct().groupBy("doc").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
-    return texts.join(own, "doc").select("doc", "text", "at", "n")
+    """(doc, h, text, at, n): a document's rows beside its text. Rows of one document are no more than its bytes."""
+    own = rows.distinct().groupBy(*_ROW).agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
+    return texts.join(own.hint("merge"), _ROW).select("doc", "h", "text", "at", "n")
 
 
-def repeated(texts: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
-    """(doc, at, n): runs of n starts from `at` whose first and last string of `length` bytes occur elsewhere. texts: (doc, text)."""
+def repeated(tmp: Scratch, texts: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
+    """(doc, h, at, n): runs of n starts from `at` whose first and last string of `length` bytes occur elsewhere. texts: (doc, h, text)."""
     long = texts.where(F.octet_length("text") >= length)
-    stretches = written(long.mapInArrow(_stretches(length), _ANCHORS), "stretches")
-    whole, open_ = _level(stretches, "bucket", "stretches")
-    blocks = written(_with_text(long, open_).mapInArrow(_blocks(length, block), _BLOCKS), "blocks")
-    equal, mixed = _level(blocks, "core", "blocks")
-    starts = written(_with_text(long, mixed).mapInArrow(_starts(length), _STARTS), "starts")
+    stretches = tmp.written(long.mapInArrow(_stretches(length), _ANCHORS), "stretches")
+    whole, open_ = _level(tmp, stretches, "bucket", "stretches")
+    blocks = tmp.written(_with_text(long, open_).mapInArrow(_blocks(length, block), _BLOCKS), "blocks")
+    equal, mixed = _level(tmp, blocks, "core", "blocks")
+    starts = tmp.written(_with_text(long, mixed).mapInArrow(_starts(length), _STARTS), "starts")
     twice = starts.groupBy("w1", "w2").agg(F.count("*").alias("members")).where("members > 1").select("w1", "w2")
-    found = starts.join(twice, ["w1", "w2"], "left_semi").groupBy("doc", "block").agg(F.min("at").alias("at"), F.max("at").alias("to"))
-    return whole.unionByName(equal).unionByName(found.select("doc", "at", (F.col("to") - F.col("at") + 1).alias("n")))
+    found = starts.join(twice, ["w1", "w2"], "left_semi").groupBy(*_ROW, "block").agg(F.min("at").alias("at"), F.max("at").alias("to"))
+    return whole.unionByName(equal).unionByName(found.select("doc", "h", "at", (F.col("to") - F.col("at") + 1).alias("n")))
 
 
-def kept_intervals(n_bytes: int, at: list[int], n: list[int], length: int) -> tuple[list[tuple[int, int]], int, int]:
-    """What stays of a text, the bytes removed, and the removed runs."""
-    kept, removed, spans, place = [], 0, 0, 0
-    low = high = -1
+def removed_spans(at: list[int], n: list[int], length: int) -> list[tuple[int, int]]:
+    """The maximal runs of bytes to remove, in order."""
+    spans: list[tuple[int, int]] = []
     for a, b in sorted(zip(at, n, strict=True)):
         end = a + b - 1 + length
-        if a > high:
-            if high > 0:
-                removed, spans = removed + high - low, spans + 1
-                kept.append((place, low))
-                place = high
-            low, high = a, end
+        if spans and a <= spans[-1][1]:
+            spans[-1] = spans[-1][0], max(spans[-1][1], end)
         else:
-            high = max(high, end)
-    if high > 0:
-        removed, spans = removed + high - low, spans + 1
-        kept.append((place, low))
-        place = high
-    kept.append((place, n_bytes))
-    return kept, removed, spans
+            spans.append((a, end))
+    return spans
+
 
+def _cut(length: int):
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-def _digests(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            out: list[list] = [[], [], [], []]
+            sizes, removed, spans, kept = [], [], [], []
             for k, (at, n) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 part = data[offsets[k] : offsets[k + 1]]
-                kept, removed, spans = kept_intervals(len(part), at or [], n or [], length)
-                digest = hashlib.sha256()
-                for a, b in kept:
-                    digest.update(part[a:b])
-                for column, value in zip(out, (len(part), removed, spans, digest.hexdigest()), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())], [f.split()[0] for f in SCHEMA.split(", ")])
+                own = removed_spans(at or [], n or [], length)
+                stays = np.ones(len(part), bool)
+                for a, b in own:
+                    stays[a:b] = False
+                sizes.append(len(part))
+                removed.append(sum(b - a for a, b in own))
+                spans.append([{"start": a, "end": b} for a, b in own])
+                kept.append(part[stays].tobytes())
+            values = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *values], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
     return run
 
@@ -229,17 +227,26 @@ def _digests(length: int):
 _NULL_ID = -(1 << 63)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """A row per document: bytes, bytes removed, maximal removed runs, and a digest of what is left."""
+def cut_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """A row per document: bytes, bytes removed, the maximal removed runs (from start up to end), and the bytes that stay."""
     spark = docs.sparkSession
     small_batches(spark)
     if length % 2 or block >= length // 4:
         raise ValueError("length must be even and more than four blocks")
-    texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    ranges = written(repeated(texts, length, block), "ranges").groupBy("doc").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
-    done = texts.join(ranges, "doc", "left").select("doc", "text", "at", "n").mapInArrow(_digests(length), SCHEMA)
+    texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).select("doc", F.hash("text").alias("h"), "text")
+    with Scratch(spark, "substrings") as tmp:
+        ranges = written(repeated(tmp, texts, length, block), "ranges")
+    own = ranges.groupBy(*_ROW).agg(F.collect_set(F.struct("at", "n")).alias("own")).select(*_ROW, F.col("own.at").alias("at"), F.col("own.n").alias("n"))
+    done = texts.join(own.hint("merge"), _ROW, "left").select("doc", "text", "at", "n").mapInArrow(_cut(length), SCHEMA)
     return done.withColumn("doc_id", F.when(F.col("doc_id") != _NULL_ID, F.col("doc_id")))
 
 
+def remove_repeats(docs: DataFrame, **options) -> DataFrame:
+    """Digests of cut_repeats. `text` and `n_kept` are what stays; a character of which bytes were removed is left out of `text`."""
+    done = cut_repeats(docs, **options)
+    left = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), left.alias("text"))
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))

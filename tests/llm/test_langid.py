@@ -59,3 +59,16 @@ def test_held_out_accuracy(spark):
     right = sum(truth[r["doc_id"]] == r["lang_pred"] for r in rows)
     print(right, len(rows), [(r["doc_id"], r["lang_pred"], truth[r["doc_id"]], r["score"]) for r in rows if truth[r["doc_id"]] != r["lang_pred"]][:20])
     assert right >= 0.97 * len(rows)
+
+
+def test_scripts_and_long_samples():
+    """Languages of the same many-lettered script are told apart, and texts beyond the budget don't crowd out others."""
+    rng = np.random.default_rng(4)
+    chars = [[chr(0x4E00 + int(x)) for x in rng.integers(0, 6000, 3000)] for _ in range(2)]
+    text = lambda k, n: "".join(chars[k][int(i)] for i in rng.zipf(1.3, n) % 3000)
+    model = L.Model({"a": [text(0, 900) for _ in range(20)], "b": [text(1, 900) for _ in range(20)], "en": ["z" * 60000, *(" ".join(rng.choice("the cat sat on a mat and dog ran by".split(), 250)) for _ in range(20))]})
+    names, _ = model.predict(*arrays([text(0, 80), text(1, 80), "the cat and the dog"]))
+    assert names == ["a", "b", "en"] and all(len(x) <= L.SAMPLE_SYMBOLS for x in model.texts.values())
+    assert L.Model({"x": ["y" * 60000]}).texts["x"] == [ord("y")] * (L.SAMPLE_SYMBOLS - 1) + [0]
+    tied = L.Model({"q": ["abc"], "p": ["abc"]})
+    assert tied.predict(*arrays(["abc", "xyz"]))[0] == ["p", "p"]

@@ -20,7 +20,7 @@ def brute(docs, length):
 
 
 def got(df):
-    return {r[0]: tuple(r)[1:] for r in df.collect()}
+    return {r[0]: tuple(r)[1:5] for r in df.collect()}  # n_kept and text follow
 
 
 def test_against_brute_force(spark):
@@ -51,3 +51,17 @@ def test_whole_table(spark):
     d = "/root/testdata/sf0.001"
     docs = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
     assert got(S.op5_substrings(spark, d)) == brute(docs, 400)
+
+
+def test_repeated_ids_and_kept_text(spark):
+    """Rows of one id and different texts are documents of their own; what stays is given as bytes, spans and text."""
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage, heads = noise(120), [noise(130) for _ in range(4)]
+    rows = [(1, heads[0] + passage), (1, passage + heads[1]), (1, heads[2]), (2, "é" * 30 + heads[3]), (2, "x" + "é" * 30 + heads[3]), (3, heads[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = sorted((r["doc_id"], r["text"], r["n_kept"], r["n_removed"]) for r in S.remove_repeats(df, length=100, block=10).collect())
+    want = sorted([(1, heads[0], 130, 120), (1, heads[1], 130, 120), (1, "", 0, 130), (2, "", 0, 190), (2, "x", 1, 190), (3, "", 0, 130)])
+    assert [(a, c, d) for a, _, c, d in out] == [(a, c, d) for a, _, c, d in want] and [b for _, b, _, _ in out] == [b for _, b, _, _ in want]
+    whole = {(r["doc_id"], bytes(r["kept"])): [tuple(x) for x in r["spans"]] for r in S.cut_repeats(df, length=100, block=10).collect()}
+    assert whole[1, heads[0].encode()] == [(130, 250)] and whole[1, heads[1].encode()] == [(0, 120)]
