@@ -3,38 +3,65 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Legal suffixes and city prefixes of names (fixed values).
-LEGAL_SUFFIXES = ["有限责任公司", "股份有限公司", "集团有限公司", "有限公司", "集团", "公司", "inc.", "inc", "ltd.", "ltd", "llc", "corp.", "corp", "co."]
-CITY_PREFIXES = ["北京", "上海", "深圳", "广州", "杭州", "南京", "成都", "武汉", "西安", "苏州", "天津"]
-_RANGE = re.compile(r"(\d+(?:\.\d+)?)\s*(k|千|w|万)?\s*(?:-|~|至|–|—)\s*(\d+(?:\.\d+)?)\s*(k|千|w|万)?", re.I)
-_MONTHS = re.compile(r"[·x*]\s*(\d{2})\s*薪")
+#: Suffixes of company names, in the order in which they are tried (fixed values).
+LEGAL_SUFFIXES = [
+    "股份有限公司", "有限责任公司", "集团有限公司", "有限公司", "股份公司", "集团公司", "公司", "责任公司", "科技", "信息技术", "信息科技", "网络科技", "软件", "控股", "集团",
+]
+#: Places in front of company names (fixed values).
+PLACE_PREFIXES = [
+    "北京", "上海市", "上海", "广州市", "广州", "深圳市", "深圳", "杭州市", "杭州", "南京市", "南京", "成都市", "成都", "武汉市", "武汉", "西安市", "西安", "重庆市", "重庆", "天津市", "天津", "苏州市", "苏州",
+    "青岛市", "青岛", "长沙市", "长沙", "郑州市", "郑州", "合肥市", "合肥", "福州市", "福州", "厦门市", "厦门", "东莞市", "东莞", "宁波市", "宁波", "无锡市", "无锡", "佛山市", "佛山", "沈阳市", "沈阳", "大连市", "大连",
+    "济南市", "济南", "石家庄市", "石家庄", "哈尔滨市", "哈尔滨", "昆明市", "昆明", "广东省", "广东省深圳市", "浙江省", "江苏省", "四川省", "湖北省", "陕西省", "福建省", "山东省", "河南省", "安徽省", "湖南省", "河北省", "辽宁省",
+    "黑龙江省", "云南省", "贵州省", "广西", "新疆", "内蒙古", "西藏", "宁夏", "海南", "中国",
+]
+#: Places in front of a name, its legal endings and its trade words, as search variants drop them (fixed values).
+VARIANT_PLACES = ["北京", "上海", "天津", "重庆", "广州", "深圳", "杭州", "成都", "武汉", "厦门", "苏州"]
+VARIANT_ENDINGS = ["有限公司", "集团", "研究院", "公司", "科技", "信息技术", "数据", "人工智能", "数智"]
+#: Places of work that a card may name (fixed values).
+PLACES = [
+    "北京", "上海", "广州", "深圳", "杭州", "南京", "成都", "武汉", "西安", "重庆", "天津", "苏州", "青岛", "长沙", "郑州", "合肥", "福州", "厦门", "东莞", "宁波", "无锡", "佛山", "沈阳", "大连", "济南", "石家庄", "哈尔滨", "昆明", "南昌", "南宁", "温州",
+    "贵阳", "泉州", "珠海", "长春", "太原", "中山", "嘉兴", "常州", "徐州", "南通", "金华", "保定", "惠州", "台州", "绍兴", "烟台", "潍坊", "洛阳", "唐山", "海口", "兰州", "银川", "西宁", "呼和浩特", "乌鲁木齐", "拉萨",
+    "香港", "澳门", "台北", "新加坡", "东京", "西雅图", "旧金山", "纽约", "伦敦", "远程", "Remote", "remote", "异地",
+]
+#: Words of pay by the day and by the year (fixed values): such figures are no monthly salary.
+NOT_MONTHLY = ["/天", "元/天", "每天", "日结", "/日", "日薪", "万/年", "w/年", "W/年", "元/年", "每年", "/年", "年薪"]
+#: Thousands in a unit (fixed values).
+THOUSANDS = {"k": 1, "千": 1, "万": 10, "w": 10}
+_RANGE = re.compile(r"(\d+(?:\.\d+)?)\s*([Kk千万wW元]?)\s*[-~到至×Xx*]\s*(\d+(?:\.\d+)?)\s*([Kk千万wW元薪]?)")
+_MONTHS = re.compile(r"(\d{1,2})\s*薪")
 LOWEST, HIGHEST = 0.5, 500
-
-
-def card_salary(text: str | None) -> tuple[float | None, float | None, int | None]:
-    """(low, high, months) in thousands a month. Units of the second amount hold for the first; ten thousands count as ten; a figure by the year is
-    divided by twelve; plain figures from 1000 are in ones. What lies outside 0.5 to 500 is not a salary."""
-    for m in _RANGE.finditer(text or ""):
-        low, high = float(m[1]), float(m[3])
-        unit = (m[4] or m[2] or "").lower()
-        around = text[m.end() : m.end() + 6]
-        factor = 10.0 if unit in ("w", "万") else 1.0 if unit in ("k", "千") else 0.001 if high >= 1000 else None
-        if factor is None or (unit == "" and re.match(r"\s*(天|日|年经|岁|人)", around)):
-            continue
-        if re.match(r"\s*[/每]?\s*年", around):
-            factor /= 12
-        low, high = round(low * factor, 3), round(high * factor, 3)
-        if LOWEST <= low <= high <= HIGHEST:
-            months = _MONTHS.search(text)
-            return low, high, int(months[1]) if months and 12 <= int(months[1]) <= 24 else None
-    return None, None, None
+_EDGE = "（）()\\[\\]【】·\\-—"
+
+
+def card_salary(text: str | None) -> tuple[int | None, int | None, int | None]:
+    """(low, high, months) in whole thousands a month, rounded half to even. A range with a unit of thousands goes before one without;
+    years of experience are no range; both amounts must have the same unit, if both have one. Without a salary the months stay."""
+    if not text or any(word in text for word in NOT_MONTHLY):
+        return None, None, None
+    told = _MONTHS.search(text)
+    months = int(told[1]) if told else None
+
+    def worth(m: re.Match) -> bool:
+        behind, ahead = text[m.end() : m.end() + 3], text[max(0, m.start() - 2) : m.start()]
+        return bool(m[2] or m[4]) or not re.search("年|月|经验|天", behind) and not re.search("经验|工作|不限", ahead)
+
+    ranges = sorted(filter(worth, _RANGE.finditer(text)), key=lambda m: (m[2] or m[4]).lower() not in THOUSANDS)
+    if ranges:
+        low, first, high, last = ranges[0].groups()
+        first, last = first.lower(), last.lower()
+        agreed = not (first and last) or THOUSANDS.get(first, first) == THOUSANDS.get(last, last)
+        factor = 1 if (first or last) == "薪" else THOUSANDS.get(first or last)
+        if agreed and factor:
+            low, high = float(low) * factor, float(high) * factor
+            if LOWEST <= high <= HIGHEST and low <= high:
+                return round(low), round(high), months
+    return None, None, months
 
 
 def salary(text):
@@ -42,14 +69,18 @@ def salary(text):
 
     def run(cards: pd.Series) -> pd.DataFrame:
         rows = [card_salary(c) for c in cards]
-        return pd.DataFrame({"low": [r[0] for r in rows], "high": [r[1] for r in rows], "months": pd.array([r[2] for r in rows], dtype="Int32")})
+        return pd.DataFrame({name: pd.array([r[k] for r in rows], dtype="Int32") for k, name in enumerate(("low", "high", "months"))})
 
-    return F.pandas_udf(run, "struct<low:double,high:double,months:int>")(text)
+    return F.pandas_udf(run, "struct<low:int,high:int,months:int>")(text)
 
 
-def employment_type(title: Column) -> Column:
-    low = F.lower(title)
-    return F.when(low.rlike("实习|intern"), "internship").when(low.rlike("校招|校园|应届|campus|graduate"), "campus").when(low.rlike("兼职|part.?time"), "part_time").when(low.rlike("外包|合同|contract"), "contract").otherwise("experienced")
+def employment_type(text: Column) -> Column:
+    """The first kind of which a word is there; null without one."""
+    low = F.lower(text)
+    return (
+        F.when(text.contains("实习") | low.contains("intern"), "internship").when(text.rlike("兼职|小时工|钟点工") | low.contains("part"), "part_time")
+        .when(text.rlike("临时|外包|劳务派遣"), "temporary").when(text.rlike("全职|正式|校招|社招|经验不限") | low.contains("full"), "full_time")
+    )
 
 
 def public_type(title: Column, kind: Column) -> Column:
@@ -62,34 +93,35 @@ def ranking_type(title: Column, kind: Column) -> Column:
     return F.when(F.lower(title).rlike("实习|intern") | (kind == "internship"), "internship").otherwise("campus")
 
 
-def city(text: Column, cities: list[str]) -> Column:
-    """The first of the cities, the longest names first, that the text holds."""
-    out = F.when(F.lower(text).contains("remote"), "远程")
-    for name in sorted(cities, key=lambda c: (-len(c), c)):
-        out = out.when(text.contains(name), name)
+def city(text: Column, cities: list[str] = PLACES) -> Column:
+    """The first of the places, the longest names first, that the text holds; remote work has one name."""
+    out = None
+    for name in sorted(cities, key=len, reverse=True):
+        shown = "远程" if name.lower() == "remote" else name
+        out = F.when(text.contains(name), shown) if out is None else out.when(text.contains(name), shown)
     return out
 
 
-def without_legal_suffixes(name: str) -> str:
-    folded = unicodedata.normalize("NFKC", name).strip()
-    while True:
-        cut = next((s for s in LEGAL_SUFFIXES if folded.lower().endswith(s) and len(folded) > len(s)), None)
-        if cut is None:
-            return folded
-        folded = folded[: -len(cut)].rstrip(" ,，")
-
-
-def name_variants(name: str) -> list[str]:
-    """Compact name, without a city in front, without legal suffixes, and the first three Han characters; of at least three characters each, in order."""
-    compact = "".join(unicodedata.normalize("NFKC", name).split())
-    bare = next((compact[len(c) :] for c in CITY_PREFIXES if compact.startswith(c)), compact)
-    short = without_legal_suffixes(bare)
-    head = short[:3] if re.fullmatch(r"[一-鿿]{3}", short[:3]) else ""
-    return [v for v in dict.fromkeys([compact, bare, short, head]) if len(v) >= 3]
+def without_legal_suffixes(name: Column) -> Column:
+    """The name without one place in front (the longest that is there) and without any suffixes, nor the brackets and dashes beside
+    them. Something of the name always stays. Suffixes are taken from the end, each time the first of the list that is there."""
+    places = "|".join(sorted(PLACE_PREFIXES, key=len, reverse=True))
+    bare = F.regexp_replace(F.regexp_replace(name, r"(?U)^\s+|\s+$", ""), rf"^(?:{places})(?=[\s\S])[{_EDGE}]*", "")
+    endings = "|".join(s[::-1] for s in LEGAL_SUFFIXES)
+    cut = F.reverse(F.regexp_replace(F.reverse(bare), rf"^(?:(?>(?:{endings})(?=[\s\S]))[{_EDGE}]*+)++", ""))
+    return F.regexp_replace(cut, r"(?U)^\s+|\s+$", "")
 
 
-def variants(name):
-    return F.pandas_udf(lambda s: s.map(name_variants, na_action="ignore"), "array<string>")(name)
+def variants(name: Column) -> Column:
+    """Compact name, without a place in front, without legal endings and trade words (each once, in order), and the first three
+    characters of that if it has Han letters; distinct, of at least three characters each, in this order."""
+    compact = F.regexp_replace(name, r"(?U)\s+", "")
+    bare = F.regexp_replace(compact, rf"^(?:{'|'.join(VARIANT_PLACES)})", "")
+    core = bare
+    for ending in VARIANT_ENDINGS:
+        core = F.regexp_replace(core, rf"{ending}\z", "")
+    head = F.when(core.rlike(r"[\u4e00-\u9fff]"), F.substr(core, F.lit(1), F.lit(3)))
+    return F.array_distinct(F.filter(F.array(compact, bare, core, F.when(F.length(core) >= 3, head)), lambda v: F.length(v) >= 3))
 
 
 class Cards(HTMLParser):
@@ -140,5 +172,5 @@ def listed(html: str) -> list[dict]:
 
 def job_rows(html):
     """Array of structs, to be exploded."""
-    kind = "array<struct<title:string,url:string,low:double,high:double,months:int>>"
+    kind = "array<struct<title:string,url:string,low:int,high:int,months:int>>"
     return F.pandas_udf(lambda pages: pages.map(listed, na_action="ignore"), kind)(html)

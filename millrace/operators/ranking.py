@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import midrank_percentile
+from .windows import dense_positions, midranks
 
 #: Points a component can give (fixed values), in declared order.
 MAXIMA = {"ai_core": 30, "market_validation": 25, "growth_momentum": 20, "industry_influence": 15, "reliability": 10}
@@ -33,11 +33,13 @@ def capped_counts(signals: DataFrame, key: str, **rules: tuple[Column, int, int]
 
 def calibrated(rows: DataFrame, stage_column: str, components: dict[str, int]) -> DataFrame:
     """Each raw component replaced by its mid-rank percentile within the stage times its maximum, rounded half to even, and `total`."""
-    for name, most in components.items():
-        rows = rows.withColumn(f"_{name}", F.bround(midrank_percentile(name, [stage_column]) * most).cast("long"))
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("component"), F.col(name).cast("double").alias("value")) for name in components])).alias("c")
+    shares = midranks(rows.select(stage_column, each).select(stage_column, "c.*"), "value", ["component", stage_column], "share")
     out = rows
-    for name in components:
-        out = out.withColumn(name, F.col(f"_{name}")).drop(f"_{name}")
+    for name, most in components.items():
+        own = shares.where(F.col("component") == name).select(stage_column, F.col("value").alias("_value"), F.bround(F.col("share") * most).cast("long").alias("_points"))
+        met = out.withColumn("_value", F.col(name).cast("double")).join(own, [stage_column, "_value"], "left")
+        out = met.withColumn(name, F.coalesce("_points", F.lit(0).cast("long"))).drop("_value", "_points")
     return out.withColumn("total", sum((F.col(c) for c in components), F.lit(0)))
 
 
@@ -70,10 +72,11 @@ def gaps(categories: Sequence[str], fresh: Column) -> Column:
     return F.array_except(F.array(*map(F.lit, categories)), fresh)
 
 
-def ranked(rows: DataFrame, eligible: Column, order: Sequence[Column]) -> DataFrame:
-    """1..n over eligible rows only, null for the others."""
-    place = F.row_number().over(Window.partitionBy(eligible).orderBy(*order))
-    return rows.withColumn("rank", F.when(eligible, place))
+def ranked(rows: DataFrame, eligible: Column, order: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """`rank`: 1..n over eligible rows only (of the same `within`), null for the others."""
+    told = rows.withColumn("_eligible", F.coalesce(eligible, F.lit(False)))
+    placed = dense_positions(told.where("_eligible"), order, "rank", within).withColumn("rank", F.col("rank") + 1)
+    return placed.unionByName(told.where("NOT _eligible").withColumn("rank", F.lit(None).cast(placed.schema["rank"].dataType))).drop("_eligible")
 
 
 def confidence_tier(source: Column, has_website: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import staged
+
 
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row of each key that is last by `order`."""
@@ -15,10 +17,23 @@ def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
 
 
 def latest_before(rows: DataFrame, rounds: DataFrame, key: str, at: str, tie: str, started: str) -> DataFrame:
-    """For each round and key, the last row strictly before the round's start. Rounds are few: a broadcast range join, then an aggregate."""
-    pairs = rows.join(F.broadcast(rounds), F.col(at) < F.col(started))
-    value = F.struct(*[c for c in rows.columns if c != key])
-    return pairs.groupBy(*rounds.columns, key).agg(F.max_by(value, F.struct(at, tie)).alias("row")).select(*rounds.columns, key, "row.*")
+    """For each round and key, the last row strictly before the round's start. Each row learns by one ordered count over rows and
+    rounds which round is the first to see it; the last row of a key for that round holds until the key's next one. So rows meet
+    only the rounds in whose result they stand."""
+    numbered = dense_positions(rounds, [started, *[c for c in rounds.columns if c != started]], "_round")
+    names = [f"r{i}" for i in range(len(rows.columns))]
+    plain = rows.toDF(*names)
+    by = dict(zip(rows.columns, names, strict=True))
+    moments = plain.select(F.col(by[at]).alias("_at"), F.lit(1).alias("_kind"), F.lit(0).alias("_one"), F.struct(*names).alias("_row"))
+    starts = rounds.select(F.col(started).alias("_at"), F.lit(0).alias("_kind"), F.lit(1).alias("_one"), F.lit(None).cast(moments.schema["_row"].dataType).alias("_row"))
+    seen = running(moments.unionByName(starts), ["_at", "_kind"], "_one", "_round").where("_kind = 1").select("_round", "_row.*")
+    last = seen.groupBy("_round", by[key]).agg(F.max_by(F.struct(*names), F.struct(by[at], by[tie])).alias("_row"))
+    until = F.lead("_round").over(Window.partitionBy(by[key]).orderBy("_round"))
+    n = rounds.count()
+    held = last.withColumn("_until", F.coalesce(until, F.lit(n))).where(F.col("_round") < F.col("_until"))
+    each = held.select(F.explode(F.sequence("_round", F.col("_until") - 1)).alias("_round"), "_row")
+    out = each.join(numbered, "_round").select(*[F.col(c) for c in rounds.columns], *[F.col(f"_row.{by[c]}").alias(c) for c in [key, *[c for c in rows.columns if c != key]]])
+    return out
 
 
 def midrank_percentile(value: str, group: Sequence[str]) -> Column:
@@ -36,14 +51,47 @@ def positional_bucket(buckets: int, order: Sequence[Column], group: Sequence[str
     return F.floor((F.row_number().over(sorted_) - 1) * buckets / F.count("*").over(whole)).cast("int")
 
 
-def dense_positions(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """0, 1, ... over all rows in order, without a window over the whole table: rows are range-partitioned, ranked in their
-    partition and offset by the counts of the partitions before."""
-    placed = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    local = placed.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return local.join(sizes.select("_part", before.alias("_before")), "_part").withColumn(name, F.col("_local") + F.col("_before")).drop("_part", "_local", "_before")
+def running(rows: DataFrame, order: Sequence[str], weight: str, name: str, within: Sequence[str] = ()) -> DataFrame:
+    """`name`: the sum of `weight` over all earlier rows of the same `within`, in order, without a window over a whole table or group:
+    rows are range-partitioned and written once, summed in their partition, and offset by the sums of the partitions before."""
+    placed = staged(rows.repartitionByRange(*within, *order).withColumn("_part", F.spark_partition_id()), "placed")
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    local = placed.withColumn("_local", F.coalesce(F.sum(weight).over(before.partitionBy("_part", *within).orderBy(*order)), F.lit(0)))
+    sizes = placed.groupBy("_part", *within).agg(F.sum(weight).alias("_n"))
+    groups = list(within) or [F.lit(0)]
+    offsets = sizes.select("_part", *within, F.coalesce(F.sum("_n").over(before.partitionBy(*groups).orderBy("_part")), F.lit(0)).alias("_before"))
+    return local.join(offsets, ["_part", *within]).withColumn(name, F.col("_local") + F.col("_before")).drop("_part", "_local", "_before")
+
+
+def dense_positions(rows: DataFrame, order: Sequence[str], name: str, within: Sequence[str] = ()) -> DataFrame:
+    """0, 1, ... over all rows (of the same `within`), in order."""
+    return running(rows.withColumn("_one", F.lit(1)), order, "_one", name, within).drop("_one")
+
+
+def midranks(rows: DataFrame, value: str, group: Sequence[str], name: str) -> DataFrame:
+    """(group, value, name): as midrank_percentile, a row per distinct value that is there, for groups of any size: equal values are
+    counted first, and only distinct ones are put in order."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_equal"))
+    below = running(counts, [value], "_equal", "_below", group)
+    sizes = below.groupBy(*group).agg(F.sum("_equal").alias("_rows"))
+    mid = F.when(F.col(value) <= 0, 0.0).when(F.col("_rows") == 1, 1.0).otherwise((F.col("_below") + F.col("_equal") / 2) / F.col("_rows"))
+    return below.join(sizes, list(group)).select(*group, value, mid.alias(name))
+
+
+def with_midrank(rows: DataFrame, value: str, group: Sequence[str], name: str) -> DataFrame:
+    """The rows and their mid-rank percentile; 0 for a null value."""
+    joined = rows.join(midranks(rows, value, group, name), [*group, value], "left")
+    return joined.withColumn(name, F.coalesce(name, F.lit(0.0)))
+
+
+def with_bucket(rows: DataFrame, buckets: int, order: Sequence[str], name: str, group: Sequence[str] = ()) -> DataFrame:
+    """As positional_bucket, for groups of any size."""
+    placed = dense_positions(rows, order, "_place", group)
+    if group:
+        sized = placed.join(rows.groupBy(*group).agg(F.count("*").alias("_rows")), list(group))
+    else:
+        sized = placed.withColumn("_rows", F.lit(rows.count()))
+    return sized.withColumn(name, F.floor(F.col("_place") * buckets / F.col("_rows")).cast("int")).drop("_place", "_rows")
 
 
 def hash_rank(identity: Column, seed: str) -> Column:
@@ -88,11 +136,10 @@ def floor_and_share(strata: DataFrame, count: str, seats: int, floor_percent: in
     return done.withColumn("seats", F.col("floor_seats") + F.col("share_seats")).withColumn("feasible", F.col("seats") <= F.col(count)).drop("_left")
 
 
-def round_robin(rows: DataFrame, buckets: Sequence[str], order: Sequence[Column], position: str = "position") -> DataFrame:
+def round_robin(rows: DataFrame, buckets: Sequence[str], order: Sequence[str], position: str = "position") -> DataFrame:
     """The k-th row of every bucket, buckets in order, before the k+1-th of any; `position` from 1."""
-    turn = F.row_number().over(Window.partitionBy(*buckets).orderBy(*order))
-    turned = rows.withColumn("_turn", turn)
-    return turned.withColumn(position, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_turn", *buckets))).drop("_turn")
+    turned = dense_positions(rows, order, "_turn", buckets)
+    return dense_positions(turned, ["_turn", *buckets], position).withColumn(position, F.col(position) + 1).drop("_turn")
 
 
 def streaks(rows: DataFrame, key: str, order: Sequence[str], hit: Column, name: str = "streak") -> DataFrame:

@@ -24,11 +24,11 @@ def collection_grid(t: Tables):
 
 
 @query("""
-WITH v AS (SELECT p_partkey, unnest(list_distinct([p_name, split_part(p_name, ' ', 2)])) AS variant FROM part WHERE p_size = 3)
+WITH v AS (SELECT p_partkey, unnest(list_distinct([p_name, split_part(p_name, ' ', 2)])) AS variant FROM part)
 SELECT p_partkey, 'site:' || site || ' "' || variant || '"' AS query FROM v, (VALUES ('a.example'), ('b.example')) s(site)
 """)
 def site_queries(t: Tables):
-    names = t.part.where("p_size = 3").select("p_partkey", F.array("p_name", F.substring_index("p_name", " ", -1)).alias("v"))
+    names = t.part.select("p_partkey", F.array("p_name", F.substring_index("p_name", " ", -1)).alias("v"))
     return S.site_queries(names, "p_partkey", "v", ["a.example", "b.example"]).select("p_partkey", "query")
 
 
@@ -47,11 +47,6 @@ def vendor_signals(t: Tables):
     return found.select("user_id", "key", F.date_format("date", "yyyy-MM-dd").alias("day"), "label")
 
 
-@query()
-def name_variants(t: Tables):
-    return t.part.select("p_partkey", F.array_join(J.variants("p_name"), "|").alias("variants"))
-
-
 @query()
 def html_job_rows(t: Tables):
     return t.pages.select("page_id", F.explode(J.job_rows("html")).alias("j")).select("page_id", "j.*")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import ranking as K
@@ -45,7 +44,7 @@ def stage_classes(t: Tables):
 
 @query(f"WITH {_RAW} SELECT o_custkey, stage, round({_MID.format('ai_core')}, 6) AS percentile FROM s")
 def stage_percentiles(t: Tables):
-    return raw(t).select("o_custkey", "stage", F.round(W.midrank_percentile("ai_core", ["stage"]), 6).alias("percentile"))
+    return W.with_midrank(raw(t), "ai_core", ["stage"], "percentile").select("o_custkey", "stage", F.round("percentile", 6).alias("percentile"))
 
 
 _CAL = f"c AS (SELECT o_custkey, stage, {', '.join(f'round_even({_MID.format(c)} * {m}, 0)::BIGINT AS {c}' for c, m in PARTS.items())} FROM s)"
@@ -64,8 +63,8 @@ def ranking_reason(t: Tables):
 @query(f"WITH {_RAW}, {_CAL} SELECT o_custkey, stage, CASE WHEN ai_core > 0 THEN row_number() OVER (PARTITION BY stage, ai_core > 0 ORDER BY ai_core + market_validation + growth_momentum DESC, ai_core DESC, o_custkey) END AS rank FROM c")
 def eligible_rank(t: Tables):
     done = K.calibrated(raw(t), "stage", PARTS)
-    place = F.row_number().over(Window.partitionBy("stage", F.col("ai_core") > 0).orderBy(F.desc("total"), F.desc("ai_core"), "o_custkey"))
-    return done.select("o_custkey", "stage", F.when(F.col("ai_core") > 0, place).cast("long").alias("rank"))
+    ordered = done.select("o_custkey", "stage", "ai_core", (-F.col("total")).alias("first"), (-F.col("ai_core")).alias("second"))
+    return K.ranked(ordered, F.col("ai_core") > 0, ["first", "second", "o_custkey"], ["stage"]).select("o_custkey", "stage", F.col("rank").cast("long").alias("rank"))
 
 
 _FLAGS = ["ai", "bought", "signed", "viewed", "large"]
@@ -97,7 +96,7 @@ _QUINTILE = "(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_
 
 @query(f"SELECT c_custkey, ({_QUINTILE})::INT AS quintile FROM customer")
 def score_quintiles(t: Tables):
-    return t.customer.select("c_custkey", W.positional_bucket(5, [F.col("c_acctbal"), F.col("c_custkey")], ["c_nationkey"]).alias("quintile"))
+    return W.with_bucket(t.customer, 5, ["c_acctbal", "c_custkey"], "quintile", ["c_nationkey"]).select("c_custkey", "quintile")
 
 
 @query(f"""
@@ -108,7 +107,7 @@ k AS (SELECT q.*, row_number() OVER (PARTITION BY stratum ORDER BY sha256(c_cust
 SELECT c_custkey, stratum FROM k JOIN (SELECT stratum, base + CASE WHEN place <= more THEN 1 ELSE 0 END AS seats FROM s) USING (stratum) WHERE place <= seats
 """)
 def stratified_sample(t: Tables):
-    bucket = t.customer.withColumn("q", W.positional_bucket(5, [F.col("c_acctbal"), F.col("c_custkey")], ["c_nationkey"]))
+    bucket = W.with_bucket(t.customer, 5, ["c_acctbal", "c_custkey"], "q", ["c_nationkey"])
     label = F.concat(F.col("c_mktsegment"), F.lit("|"), F.col("c_nationkey").cast("string"), F.lit("|score_q"), F.col("q").cast("string"))
     return W.stratified_sample(bucket, label, "c_custkey", 200, "seed").select("c_custkey", "stratum")
 
@@ -134,7 +133,7 @@ WITH k AS (SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nati
 SELECT s_suppkey, row_number() OVER (ORDER BY turn, s_nationkey) AS position FROM k
 """)
 def diversity_members(t: Tables):
-    return W.round_robin(t.supplier.select("s_suppkey", "s_nationkey", "s_name"), ["s_nationkey"], [F.col("s_name"), F.col("s_suppkey")]).select("s_suppkey", F.col("position").cast("long").alias("position"))
+    return W.round_robin(t.supplier.select("s_suppkey", "s_nationkey", "s_name"), ["s_nationkey"], ["s_name", "s_suppkey"]).select("s_suppkey", F.col("position").cast("long").alias("position"))
 
 
 @query("""
@@ -144,7 +143,7 @@ SELECT id, position, sha256((SELECT string_agg(id::VARCHAR, chr(10) ORDER BY id:
 """)
 def freeze_manifest(t: Tables):
     reps = t.part.groupBy("p_name").agg(F.min_by("p_partkey", F.struct("p_size", "p_partkey")).alias("id"), F.min("p_brand").alias("brand"))
-    chosen = W.round_robin(reps, ["brand"], [F.col("p_name"), F.col("id")]).where("position <= 30")
+    chosen = W.round_robin(reps, ["brand"], ["p_name", "id"]).where("position <= 30")
     version = R.fingerprint(chosen, "id").select(F.col("fingerprint").alias("version"))
     return chosen.crossJoin(F.broadcast(version)).select("id", F.col("position").cast("long").alias("position"), "version")
 

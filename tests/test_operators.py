@@ -147,8 +147,13 @@ def test_salaries(spark):
     cases = {"15-25K·14薪": (15000, 25000, 14, None), "1.5-2.5K": (1500, 2500, None, None), "25-15K": (None, None, None, "invalid_salary"), "1.00005-2K": (None, None, None, "invalid_salary"), "1-2K·99999薪": (None, None, None, "invalid_salary"), "1-99999999K": (None, None, None, "invalid_salary"), "negotiable": (None, None, None, "invalid_salary"), "8k-9k": (8000, 9000, None, None)}
     df = spark.createDataFrame([(c,) for c in cases] + [(None,)], "t string").select("t", C.salary(F.col("t")).alias("s"))
     assert {r["t"]: r["s"] and tuple(r["s"]) for r in df.collect()} == {**cases, None: None}
-    assert J.card_salary("月薪 15-25k·16薪") == (15.0, 25.0, 16) and J.card_salary("1-2万") == (10.0, 20.0, None) and J.card_salary("8000-12000元") == (8.0, 12.0, None)
-    assert J.card_salary("3-5年经验") == (None, None, None) and J.card_salary("24-36万/年") == (20.0, 30.0, None) and J.card_salary(None) == (None, None, None)
+    cards = {
+        "15-25K": (15, 25, None), "15-25k·16薪": (15, 25, 16), "1.5-2.5万": (15, 25, None), "1-2w": (10, 20, None), "8千-1.2万": (None, None, None), "150-200/天": (None, None, None), "30-60万/年": (None, None, None), "25-50": (None, None, None),
+        "8000-12000元": (None, None, None), "3-5年经验": (None, None, None), "3-5年经验 20-30K": (20, 30, None), "面议 14薪": (None, None, 14), "25-15K·13薪": (None, None, 13), "60-70万": (None, None, None), "12.5-13.5k": (12, 14, None), "": (None, None, None), None: (None, None, None),
+    }
+    assert {c: J.card_salary(c) for c in cards} == cards
+    got = spark.createDataFrame([(c,) for c in cards], "c string").select("c", J.salary("c").alias("s")).collect()
+    assert {r["c"]: tuple(r["s"]) for r in got} == cards
 
 
 def test_urls(spark):
@@ -170,13 +175,22 @@ def test_html_and_cards():
     assert (text, title, links) == ("One two & three four", "A b", [("/x", "three four")])
     page = "<ul><li><a href='/1'>Dev</a><span>15-25K·14薪</span></li><li><a href='/1'>again</a></li><li><a href='/2'>Ops <b>x</b></a></li></ul><a href='/3'>Lone</a>"
     assert [(j["title"], j["url"], j["low"], j["months"]) for j in J.listed(page)] == [("Dev", "/1", 15.0, 14), ("Ops x", "/2", None, None), ("Lone", "/3", None, None)]
-    assert J.name_variants("北京 百川智能科技有限公司") == ["北京百川智能科技有限公司", "百川智能科技有限公司", "百川智能科技", "百川智"] and J.without_legal_suffixes("Acme Co. Ltd.") == "Acme"
+
+
+def test_names_without_endings(spark):
+    bare = {"北京月之暗面科技有限公司": "月之暗面", "广东省深圳市（星辰）集团公司": "星辰", "上海市": "市", "公司": "公司", " 星辰责任公司 ": "星辰责任", "中国·星辰网络科技（集团）有限公司": "星辰网络", "Acme Ltd": "Acme Ltd", "深圳星辰控股-集团": "星辰", "": ""}
+    search = {"北京 百川智能科技有限公司": ["北京百川智能科技有限公司", "百川智能科技有限公司", "百川智能", "百川智"], "Acme": ["Acme"], "上海数智": ["上海数智"], "深圳星辰": ["深圳星辰"], "  ": []}
+    df = spark.createDataFrame([(n,) for n in [*bare, *search]], "n string").select("n", J.without_legal_suffixes(F.col("n")).alias("b"), J.variants(F.col("n")).alias("v"))
+    got = {r["n"]: (r["b"], r["v"]) for r in df.collect()}
+    assert {n: got[n][0] for n in bare} == bare and {n: got[n][1] for n in search} == search
+    places = spark.createDataFrame([("驻乌鲁木齐/南京",), ("remote job",), ("Remote",), ("nowhere",), ("南京或上海",)], "t string").select(J.city(F.col("t"))).collect()
+    assert [r[0] for r in places] == ["乌鲁木齐", "远程", "远程", None, "上海"]
 
 
 def test_job_types(spark):
-    df = spark.createDataFrame([("校招 工程师", "experienced"), ("Intern", "campus"), ("Dev", "campus"), ("Dev", "internship")], "title string, kind string")
+    df = spark.createDataFrame([("校招 工程师", "experienced"), ("Intern", "campus"), ("外包 Dev", "campus"), ("Dev", "internship")], "title string, kind string")
     got = df.select(J.public_type(F.col("title"), F.col("kind")), J.ranking_type(F.col("title"), F.col("kind")), J.employment_type(F.col("title"))).collect()
-    assert [tuple(r) for r in got] == [("internship", "campus", "campus"), ("internship", "internship", "internship"), ("campus", "campus", "experienced"), ("internship", "internship", "experienced")]
+    assert [tuple(r) for r in got] == [("internship", "campus", "full_time"), ("internship", "internship", "internship"), ("campus", "campus", "temporary"), ("internship", "internship", None)]
 
 
 def test_readers(spark, tmp_path):
