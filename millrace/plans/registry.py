@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collection, entities, ranking, reports, resolution, scalars, streams, upserts  # noqa: F401
+from . import collection, entities, hiring, ranking, reports, resolution, scalars, streams, upserts  # noqa: F401
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
