@@ -64,7 +64,7 @@ def similar_names(t: Tables):
 
 @query()
 def similar_titles(t: Tables):
-    """Every part against the other parts of its brand and type."""
+    """Every part against all parts of its brand and type: itself, or one of equal title and larger id."""
     new = t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("owner"), F.col("p_type").alias("city"), F.col("p_name").alias("title"))
     known = t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("owner"), F.col("p_type").alias("city"), F.col("p_name").alias("title"))
     return E.resolved_titles(new, known).select("id", "known", F.round("score", 6).alias("score"))

@@ -10,13 +10,13 @@ from .base import Tables, query
 
 
 @query("""
-WITH s AS (SELECT doc_id // 3 AS k, max(n_chars) AS n_chars, arg_max(source, (n_chars, doc_id)) AS source FROM documents WHERE doc_id % 3 = 0 GROUP BY 1),
-i AS (SELECT doc_id // 2 AS k, max(n_chars) AS n_chars, arg_max(source, (n_chars, doc_id)) AS source FROM documents WHERE doc_id % 2 = 0 GROUP BY 1)
+WITH s AS (SELECT doc_id // 3 AS k, max(n_chars) AS n_chars, arg_max(source, (n_chars, doc_id)) AS source FROM documents GROUP BY 1),
+i AS (SELECT doc_id // 2 AS k, max(n_chars) AS n_chars, arg_max(source, (n_chars, doc_id)) AS source FROM documents GROUP BY 1)
 SELECT coalesce(s.k, i.k) AS k, CASE WHEN i.k IS NOT NULL AND (s.k IS NULL OR i.n_chars >= s.n_chars) THEN i.source ELSE s.source END AS source, greatest(s.n_chars, i.n_chars) AS n_chars FROM s FULL JOIN i ON s.k = i.k
 """)
 def merge_documents(t: Tables):
     def half(n: int):
-        rows = t.documents.where(F.col("doc_id") % n == 0).select(F.expr(f"doc_id div {n}").alias("k"), "n_chars", "doc_id", "source")
+        rows = t.documents.select(F.expr(f"doc_id div {n}").alias("k"), "n_chars", "doc_id", "source")
         return rows.groupBy("k").agg(F.max("n_chars").alias("n_chars"), F.max_by("source", F.struct("n_chars", "doc_id")).alias("source"))
 
     return M.newest(half(3), half(2), ["k"], "n_chars").select("k", "source", "n_chars")
@@ -38,16 +38,16 @@ def merge_all_documents(t: Tables):
 
 
 @query("""
-WITH s AS (SELECT o_orderkey AS k, o_orderstatus AS title, CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority END AS kind, o_totalprice AS price, strftime(o_orderdate, '%Y-%m-%d') AS posted FROM orders WHERE o_orderkey < 3000),
-i AS (SELECT o_orderkey - 1500 AS k, o_orderstatus AS title, o_orderpriority AS kind, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS price, strftime(o_orderdate, '%Y-%m-%d') AS posted FROM orders WHERE o_orderkey BETWEEN 3000 AND 5000)
+WITH s AS (SELECT o_orderkey AS k, o_orderstatus AS title, CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority END AS kind, o_totalprice AS price, strftime(o_orderdate, '%Y-%m-%d') AS posted FROM orders),
+i AS (SELECT o_orderkey - 1500 AS k, o_orderstatus AS title, o_orderpriority AS kind, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS price, strftime(o_orderdate, '%Y-%m-%d') AS posted FROM orders)
 SELECT coalesce(s.k, i.k) AS k, CASE WHEN i.k IS NOT NULL THEN i.title ELSE s.title END AS title, coalesce(s.kind, i.kind) AS kind, coalesce(i.price, s.price) AS price, least(s.posted, i.posted) AS posted,
   CASE WHEN length(i.kind) > length(s.kind) OR s.kind IS NULL THEN coalesce(i.kind, s.kind) ELSE s.kind END AS description, s.k IS NULL AS created FROM s FULL JOIN i ON s.k = i.k
 """)
 def merge_jobs(t: Tables):
     o = t.orders.select("o_orderkey", F.col("o_orderstatus").alias("title"), F.col("o_orderpriority").alias("kind"), F.col("o_totalprice").alias("price"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("posted"))
     k = F.col("o_orderkey")
-    stored = o.where(k < 3000).select(k.alias("k"), "title", F.when(k % 5 > 0, F.col("kind")).alias("kind"), "price", "posted").withColumn("description", F.col("kind"))
-    incoming = o.where(k.between(3000, 5000)).select((k - 1500).alias("k"), "title", "kind", F.when(k % 2 == 0, F.col("price")).alias("price"), "posted").withColumn("description", F.col("kind"))
+    stored = o.select(k.alias("k"), "title", F.when(k % 5 > 0, F.col("kind")).alias("kind"), "price", "posted").withColumn("description", F.col("kind"))
+    incoming = o.select((k - 1500).alias("k"), "title", "kind", F.when(k % 2 == 0, F.col("price")).alias("price"), "posted").withColumn("description", F.col("kind"))
     done = M.merged(stored, incoming, ["k"], {"title": "overwrite", "kind": "keep", "price": "fill", "posted": "earliest", "description": "longer"})
     return done.withColumn("created", F.col("change") == "created").drop("change")
 
