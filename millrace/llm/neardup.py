@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, documents, lowered, mix, paired, runs, salted_join, small_batches, steps, utf8, written
+from .common import HEAVY, Rolling, Scratch, documents, lowered, mix, paired, runs, salted_join, small_batches, steps, utf8, written
 from .components import components
 
 SHINGLE, PERCENT, HALVES = 5, 75, 16
@@ -130,15 +130,15 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def confirmed(texts: DataFrame, pairs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def confirmed(tmp: Scratch, texts: DataFrame, pairs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar enough. a's text goes once to every block of BLOCK partners."""
     # written, so that the join below shuffles both sides afresh and a leader with very many partners can be split
-    counts = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    counts = tmp.written(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
     members = pairs.join(counts.hint("merge"), "a").select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"))
     leaders = counts.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"))
-    wanted = written(members.unionByName(leaders), "wanted")
+    wanted = tmp.written(members.unionByName(leaders), "wanted")
     rows = texts.join(wanted.hint("merge"), "doc_id").repartition("a", "block").sortWithinPartitions("a", "block", "role", "doc_id")
-    return written(rows.select("a", "role", F.col("doc_id").alias("b"), "text").mapInArrow(_confirm(size, percent), "a long, b long").distinct(), "links")
+    return tmp.written(rows.select("a", "role", F.col("doc_id").alias("b"), "text").mapInArrow(_confirm(size, percent), "a long, b long").distinct(), "links")
 
 
 def _compare(percent: int):
@@ -217,25 +217,31 @@ def _folded(size: int):
 _LEFT = ["i", "half"]
 
 
-def _mixed(named: DataFrame) -> DataFrame:
-    """The rows of buckets that hold several components."""
-    mixed = named.groupBy(*_LEFT).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(*_LEFT)
-    return named.join(mixed, _LEFT, "left_semi")
+def _mixed(tmp: Scratch, named: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components. Buckets with more than a share of 1 / HEAVY of the rows, so fewer than HEAVY,
+    are picked by name where they are; only the rows of other buckets are dealt by bucket."""
+    share, name = F.lit(named.count()) / HEAVY, F.concat_ws(":", *_LEFT)
+    kinds = named.groupBy(*_LEFT).agg((F.min("part") != F.max("part")).alias("several"), F.count("*").alias("n"))
+    kinds = tmp.written(kinds.where(F.col("several") | (F.col("n") > share)), "kinds")
+    heavy = kinds.where(F.col("n") > share).select(name.alias("name"), "several").collect()
+    large, wanted = [r["name"] for r in heavy], [r["name"] for r in heavy if r["several"]]
+    dealt = named.where(~name.isin(large)).join(kinds.where("several").select(*_LEFT), _LEFT, "left_semi")
+    return dealt.unionByName(named.where(name.isin(wanted)))
 
 
-def cross_component_pairs(keys: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def cross_component_pairs(tmp: Scratch, keys: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Candidates between different components, from buckets of the left collection that have several. Shingles that one of their members
     alone has bound what it can share with any other: who can't reach the similarity goes."""
     met = keys.select("rep").distinct()
     named = reps.join(met, "rep", "left_semi").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    halves = written(named.select("rep", F.coalesce("component", "rep").alias("part"), F.posexplode("lefts").alias("i", "half")), "halves")
-    several = written(_mixed(halves), "several")
+    halves = tmp.written(named.select("rep", F.coalesce("component", "rep").alias("part"), F.posexplode("lefts").alias("i", "half")), "halves")
+    several = tmp.written(_mixed(tmp, halves), "several")
     own = several.select(F.col("rep").alias("doc_id")).distinct()
     rows = texts.join(own.hint("merge"), "doc_id").select("doc_id", "text").mapInArrow(_shingle_rows(size), "rep long, shingle long")
     alone = rows.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).where("rep = last").groupBy("rep").agg(F.count("*").alias("alone"))
-    reach = reps.join(written(alone, "alone"), "rep", "left").withColumn("shared", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
+    reach = reps.join(tmp.written(alone, "alone"), "rep", "left").withColumn("shared", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
     able = reach.where(100 * F.col("shared") >= percent * F.col("n_shingles")).select("rep", "n_shingles", "shared", "signature", "lefts")
-    open_ = written(_mixed(written(several.join(able.select("rep"), "rep", "left_semi"), "reaching")), "open")
+    open_ = tmp.written(_mixed(tmp, tmp.written(several.join(able.select("rep"), "rep", "left_semi"), "reaching")), "open")
     shape = open_.groupBy(*_LEFT, "part").agg(F.count("*").alias("n")).groupBy(*_LEFT).agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("all"))
     shape = shape.select(*_LEFT, F.col("most.part").alias("big"), F.ceil(F.col("most.n") / GROUP).cast("int").alias("n_big"), F.ceil((F.col("all") - F.col("most.n")) / GROUP).cast("int").alias("n_small"), F.col("all").alias("n"))
     rows = salted_join(open_, shape, _LEFT, ["rep"], open_.count()).withColumn("h", F.xxhash64("rep")).withColumn("is_big", F.col("part") == F.col("big"))
@@ -247,37 +253,38 @@ def cross_component_pairs(keys: DataFrame, labels: DataFrame, reps: DataFrame, t
     groups = F.when(F.col("is_big"), of_big).otherwise(F.concat(with_small, with_big))
     dealt = rows.select(*_LEFT, "rep", "part", F.explode(groups).alias("g")).select(*_LEFT, "g.x", "g.y", "rep", "part")
     wanted = open_.select(F.col("rep").alias("doc_id")).distinct()
-    folded = written(texts.join(wanted.hint("merge"), "doc_id").select("doc_id", "text").mapInArrow(_folded(size), "rep long, folded binary"), "folded")
+    folded = tmp.written(texts.join(wanted.hint("merge"), "doc_id").select("doc_id", "text").mapInArrow(_folded(size), "rep long, folded binary"), "folded")
     placed = dealt.join(able.join(folded, "rep"), "rep").repartition(*_LEFT, "x", "y").sortWithinPartitions(*_LEFT, "x", "y")
     row = placed.select(*_LEFT, "x", "y", "rep", "part", "n_shingles", "shared", "signature", "lefts", "folded")
-    return written(row.mapInArrow(_compare(percent), "a long, b long").distinct(), "pairs")
+    return tmp.written(row.mapInArrow(_compare(percent), "a long, b long").distinct(), "pairs")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, halves: int = HALVES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """A row per document: the size of its shingle set, the smallest doc_id that links reach, and whether it is that."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    features = written(texts.mapInArrow(_features(size, halves), _FEATURES), "features")
-    full = features.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    digest = ["n_shingles", "d1", "d2"]
-    classes = full.groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("lefts").alias("lefts"), F.first("rights").alias("rights"))
-    reps = written(classes, "classes")
-    keys = written(table_keys(reps), "keys")
-    leaders = keys.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    first = written(keys.join(leaders, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "first")
-    met = keys.select(F.col("rep").alias("doc_id")).distinct()
-    near = written(texts.where("text IS NOT NULL").join(met.hint("merge"), "doc_id").select("doc_id", "text"), "near")
-    links = confirmed(near, first, size, percent)
-    labels = components(links)
-    more = confirmed(near, cross_component_pairs(keys, labels, reps, near, size, percent), size, percent)
-    links = links.unionByName(more)
-    if not more.isEmpty():
+    with Scratch(docs.sparkSession, "neardup") as tmp:
+        texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+        features = tmp.written(texts.mapInArrow(_features(size, halves), _FEATURES), "features")
+        full = features.where("n_shingles > 0 AND doc_id IS NOT NULL")
+        digest = ["n_shingles", "d1", "d2"]
+        classes = full.groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("lefts").alias("lefts"), F.first("rights").alias("rights"))
+        reps = tmp.written(classes, "classes")
+        keys = tmp.written(table_keys(reps), "keys")
+        leaders = keys.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+        first = tmp.written(keys.join(leaders, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "first")
+        met = keys.select(F.col("rep").alias("doc_id")).distinct()
+        near = tmp.written(texts.where("text IS NOT NULL").join(met.hint("merge"), "doc_id").select("doc_id", "text"), "near")
+        links = confirmed(tmp, near, first, size, percent)
         labels = components(links)
-    of_rep = reps.select(*digest, "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*digest, F.coalesce("component", "rep").alias("component"))
-    named = features.select("doc_id", *digest).join(of_rep, digest, "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    out = named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        more = confirmed(tmp, near, cross_component_pairs(tmp, keys, labels, reps, near, size, percent), size, percent)
+        links = links.unionByName(more)
+        if not more.isEmpty():
+            labels = components(links)
+        of_rep = reps.select(*digest, "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*digest, F.coalesce("component", "rep").alias("component"))
+        named = features.select("doc_id", *digest).join(of_rep, digest, "left")
+        component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+        out = named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+        return written(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "neardup")
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
