@@ -88,3 +88,13 @@ def test_whole_table(spark):
     d = "/root/testdata/sf0.01"
     docs = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
     assert as_map(N.op4_neardup(spark, d)) == brute(docs)
+
+
+def test_heavy_and_light_buckets(spark):
+    """Buckets of several components are kept whole, by either way; a heavy one of a single component goes."""
+    rows = [(0, 1, r, 0) for r in range(300)] + [(0, -2, r, r % 2) for r in range(300)] + [(1, 2, 1, 1), (1, 2, 2, 2), (1, 3, 1, 1), (1, 3, 2, 1), (2, None, 1, 1)]
+    named = spark.createDataFrame(rows, "i int, half long, rep long, part long").repartition(4)
+    with N.Scratch(spark, "buckets") as tmp:
+        got = sorted(tuple(r) for r in N._mixed(tmp, named).collect())
+        assert N._mixed(tmp, named.where("false")).count() == 0
+    assert got == sorted([r for r in rows if r[1] == -2] + [(1, 2, 1, 1), (1, 2, 2, 2)])
