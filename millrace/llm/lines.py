@@ -158,18 +158,20 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digests(deduplicated(documents(spark, sf_dir).select("doc_id", "text"), chars=CHARS))
 
 
-SQL = f"""
+_CONTENT = """
 WITH line AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL
 ), content AS (
   SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS k FROM line WHERE trim(line, ' ') <> ''
-), win AS (
+)"""
+_LATER = f""", win AS (
   SELECT doc_id, k, {" || chr(10) || ".join(f"lead(line, {i}) OVER w" for i in range(WINDOW))} AS name FROM content WINDOW w AS (PARTITION BY doc_id ORDER BY k)
 ), later AS (
   SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY name ORDER BY doc_id, k) AS n FROM win WHERE name IS NOT NULL) WHERE n > 1
 ), gone AS (
   SELECT DISTINCT doc_id, k + i AS k FROM later, (SELECT unnest(range({WINDOW})) AS i)
-), head AS (
+)"""
+_RESULT = """, head AS (
   SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE before IS NULL OR before <> k - 1) AS n_runs
   FROM (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM gone) GROUP BY doc_id
 ), kept AS (
@@ -180,3 +182,20 @@ WITH line AS (
 SELECT d.doc_id, coalesce(n.n_lines, 0)::BIGINT AS n_lines, coalesce(h.n_removed, 0)::BIGINT AS n_removed, coalesce(h.n_runs, 0)::BIGINT AS n_runs, sha256(coalesce(k.text, '')) AS kept_sha256
 FROM documents d LEFT JOIN counted n USING (doc_id) LEFT JOIN head h USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """
+SQL = _CONTENT + _LATER + _RESULT
+
+
+def _windows(size: int) -> str:
+    name = " || chr(10) || ".join(f"lead(line, {i}) OVER w" for i in range(size))
+    held = " + ".join(f"length(trim(lead(line, {i}) OVER w, ' '))" for i in range(size))
+    return f"SELECT doc_id, k, {size} AS size, {name} AS name, {held} AS held FROM content WINDOW w AS (PARTITION BY doc_id ORDER BY k)"
+
+
+_LATER_PASSAGES = f""", win AS (
+  {" UNION ALL ".join(map(_windows, range(1, WINDOW + 1)))}
+), later AS (
+  SELECT doc_id, k, size FROM (SELECT *, row_number() OVER (PARTITION BY size, name ORDER BY doc_id, k) AS n FROM win WHERE name IS NOT NULL AND (size = {WINDOW} OR held >= {CHARS})) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT doc_id, k + i AS k FROM later, (SELECT unnest(range({WINDOW})) AS i) WHERE i < size
+)"""
+PASSAGES_SQL = _CONTENT + _LATER_PASSAGES + _RESULT

@@ -6,6 +6,7 @@ from .count import op7_count
 from .decontaminate import op3_decontaminate
 from .imatch import op6_imatch
 from .langid import op8_langid
+from .lines import PASSAGES_SQL
 from .lines import SQL as LINES_SQL
 from .lines import op10_lines, op10_passages
 from .neardup import op4_neardup
@@ -29,4 +30,5 @@ QUERIES = {
 }
 ORACLE: dict[str, str] = {
     "op10_lines": LINES_SQL,
+    "op10_passages": PASSAGES_SQL,
 }
