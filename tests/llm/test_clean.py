@@ -13,3 +13,9 @@ def test_rows_are_judged_by_their_text(spark):
         assert sorted(map(str, left.collect())) == sorted(str(r) for r in docs.collect() if "w1" not in (r["text"] or ""))
     assert D.clean(docs.where("false"), items).count() == 0
     assert D.scan(docs, items, doc_id="id").where("contaminated").count() == 4
+
+
+def test_no_items(spark):
+    docs = spark.createDataFrame([(1, "some words"), (2, None), (None, "")], "doc_id long, text string")
+    items = spark.createDataFrame([], "item_id long, text string")
+    assert D.clean(docs, items).count() == 3 and D.scan(docs, items).where("contaminated").count() == 0
