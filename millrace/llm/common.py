@@ -50,23 +50,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return _write(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Scratch:
     """Tables in the shared folder that go when the block ends: what is made from them must be written by then."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.tables: list[tuple[DataFrame, str]] = []
 
     def __enter__(self) -> Scratch:
         return self
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
-        self.n += 1
-        return _write(df, f"{self.path}/{self.n}-{name}")
+        path = f"{self.path}/{len(self.tables)}-{name}"
+        table = _write(df, path)
+        self.tables.append((table, path))
+        return table
+
+    def drop(self, df: DataFrame) -> None:
+        """Deletes the table that `written` gave, before the block ends."""
+        _delete(self.spark, next(path for table, path in self.tables if table is df))
 
     def __exit__(self, *error) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, self.path)
 
 
 #: A key with more than this share of the rows is heavy: there are at most HEAVY of them, whatever the table.
