@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity
+from .nearest import nearest_sets
 
 
 def trigrams(name: Column) -> Column:
@@ -16,16 +17,10 @@ def trigrams(name: Column) -> Column:
 
 
 def trigram_neighbours(left: DataFrame, right: DataFrame, k: int = 20) -> DataFrame:
-    """The k nearest names of `right` (id, name) for each of `left` (id, name), by 1 - common / all trigrams, ties by id. Only
-    names that share a trigram are compared, and common ones are counted by the join itself, so no pair carries arrays."""
-    a = left.select(F.col("id").alias("a"), F.col("name").alias("a_name"), trigrams(F.col("name")).alias("t"))
-    b = right.select(F.col("id").alias("b"), F.col("name").alias("b_name"), trigrams(F.col("name")).alias("t"))
-    one = a.select("a", F.size("t").alias("a_n"), F.explode("t").alias("t"))
-    two = b.select("b", F.size("t").alias("b_n"), F.explode("t").alias("t"))
-    common = one.join(two, "t").where("a <> b").groupBy("a", "b", "a_n", "b_n").agg(F.count("*").alias("common"))
-    scored = common.withColumn("distance", 1 - F.col("common") / (F.col("a_n") + F.col("b_n") - F.col("common")))
-    near = scored.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))).where(F.col("place") <= k)
-    return near.select("a", "b", "distance", "place")
+    """The k nearest names of `right` (id, name) for each of `left` (id, name), by 1 - common / all trigrams, ties by id. Only names
+    that share a trigram are neighbours."""
+    grams = lambda names: names.select("id", trigrams(F.col("name")).alias("tokens"))
+    return nearest_sets(grams(left), grams(right), k)
 
 
 def rescored(pairs: DataFrame, left: DataFrame, right: DataFrame, at_least: float) -> DataFrame:

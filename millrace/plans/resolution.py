@@ -45,17 +45,28 @@ def part_supplier_components(t: Tables):
 _GRAMS = "list_distinct(flatten(list_transform(string_split(lower(name), ' '), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 
 
-@query(f"""
-WITH n AS (SELECT min(p_partkey) AS id, p_name AS name FROM part GROUP BY p_name), g AS (SELECT id, {_GRAMS} AS t FROM n),
-p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) AS c, len(a.t) AS an, len(b.t) AS bn FROM g a JOIN g b ON a.id <> b.id),
+def _neighbours_sql(names: str) -> str:
+    return f"""
+WITH n AS ({names}), g AS (SELECT id, {_GRAMS} AS t FROM n), e AS (SELECT id, len(t) AS n, unnest(t) AS t FROM g),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS c, a.n AS an, b.n AS bn FROM e a JOIN e b ON a.t = b.t AND a.id <> b.id GROUP BY ALL),
 s AS (SELECT a, b, 1 - c / (an + bn - c)::DOUBLE AS distance FROM p WHERE c > 0), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY distance, b)::INT AS place FROM s)
 SELECT a, b, round(distance, 6) AS distance, place FROM r WHERE place <= 5
-""")
+"""
+
+
+@query(_neighbours_sql("SELECT min(p_partkey) AS id, p_name AS name FROM part GROUP BY p_name"))
 def trigram_neighbors(t: Tables):
     names = t.part.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
     return E.trigram_neighbours(names, names, 5).withColumn("distance", F.round("distance", 6))
 
 
+@query(_neighbours_sql("SELECT c_custkey AS id, c_name AS name FROM customer"))
+def customer_neighbors(t: Tables):
+    """Names that all begin alike, so that most trigrams are in all of them."""
+    names = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return E.trigram_neighbours(names, names, 5).withColumn("distance", F.round("distance", 6))
+
+
 @query()
 def similar_names(t: Tables):
     names = t.part.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))

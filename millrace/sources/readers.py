@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import similarity
 from ..operators import relational as R
 
 SEED = """version int, companies array<struct<canonical_name:string,aliases:array<string>,city:string,funding_stage:string,scale:string,
@@ -56,6 +57,24 @@ def candidates(rows: DataFrame, required: list[str], name: str, status: str, wan
     return R.first_wins(clean.where((F.col(status) == wanted) & F.col(name).isNotNull()), [name], [F.col(order)])
 
 
+def eligible(rows: DataFrame, order: str, name: str, status: str, statuses: list[str], code: str, score: str, known: list[str] = (), unknown: str = "") -> DataFrame:
+    """Candidates of a workbook: rows with one of the statuses, a name, a code and a whole score; of equal names (white space and case
+    aside) the first in source order. The code itself goes, its digest stays; columns in `known` are never null but `unknown`."""
+    clean = rows.withColumns({c: C.blank_to_null(F.col(c).cast("string")) for c in [name, status, code, score, *known]})
+    clean = clean.withColumn("normalized_name", similarity.comparison_name(F.col(name))).withColumn(score, C.tolerant_int(F.col(score)))
+    kept = clean.where(F.col(status).isin(*statuses) & (F.length("normalized_name") > 0) & F.col(code).isNotNull() & F.col(score).isNotNull())
+    first = R.first_wins(kept, ["normalized_name"], [F.col(order)])
+    return first.withColumns({c: F.coalesce(c, F.lit(unknown)) for c in known}).withColumn("identity_hash", F.sha2(code, 256)).drop(code, status)
+
+
+def cohort(rows: DataFrame, order: str, name: str, first: int = 3, last: int = 22) -> tuple[DataFrame, DataFrame]:
+    """(the names of the rows first..last of each file, verdict): a file whose rows there aren't all named fails whole."""
+    named = rows.where(F.col(order).between(first, last)).withColumn(name, C.blank_to_null(F.col(name).cast("string"))).where(F.col(name).isNotNull())
+    verdict = rows.select("_file").distinct().join(named.groupBy("_file").agg(F.countDistinct(order).alias("named")), "_file", "left")
+    verdict = verdict.select("_file", (F.coalesce("named", F.lit(0)) < last - first + 1).alias("failed"))
+    return named.join(verdict.where("NOT failed").select("_file"), "_file", "left_semi").select("_file", order, name), verdict
+
+
 def site_mapping(pairs: DataFrame, companies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(name, site, id) where the name is one company and neither name nor site occurs twice; the other pairs with `reason`."""
     known = companies.groupBy("name").agg(F.count("*").alias("owners"), F.min("id").alias("id"))
