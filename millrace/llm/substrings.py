@@ -34,12 +34,12 @@ from pyspark.sql import functions as F
 from .common import Rolling, Scratch, documents, paired, small_batches, spread, steps, utf8, written
 
 LENGTH, BLOCK = 400, 25
-#: A row of documents is known by its id and a 32-bit hash of its text.
+#: A row of documents is known by two 64-bit hashes of its id and text.
 _ROW = ["doc", "h"]
-_ANCHORS = "doc long, h int, at int, n int, bucket long, whole long"
-_BLOCKS = "doc long, h int, at int, n int, core long, whole long"
-_STARTS = "doc long, h int, block int, at int, w1 long, w2 long"
-SCHEMA = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
+_ANCHORS = "doc long, h long, at int, n int, bucket long, whole long"
+_BLOCKS = "doc long, h long, at int, n int, core long, whole long"
+_STARTS = "doc long, h long, block int, at int, w1 long, w2 long"
+SCHEMA = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, text string"
 
 
 def bucket_names(data: np.ndarray, size: int) -> np.ndarray:
@@ -178,7 +178,7 @@ def _with_text(texts: DataFrame, rows: DataFrame) -> DataFrame:
 
 def repeated(tmp: Scratch, texts: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
     """(doc, h, at, n): runs of n starts from `at` whose first and last string of `length` bytes occur elsewhere. texts: (doc, h, text)."""
-    long = texts.where(F.octet_length("text") >= length)
+    long = texts.where(F.octet_length("text") >= length).select(*_ROW, "text")
     stretches = tmp.written(long.mapInArrow(_stretches(length), _ANCHORS), "stretches")
     whole, open_ = _level(tmp, stretches, "bucket", "stretches")
     blocks = tmp.written(_with_text(long, open_).mapInArrow(_blocks(length, block), _BLOCKS), "blocks")
@@ -201,13 +201,21 @@ def removed_spans(at: list[int], n: list[int], length: int) -> list[tuple[int, i
     return spans
 
 
+def _whole_characters(part: np.ndarray, stays: np.ndarray) -> np.ndarray:
+    """The bytes of characters that stay whole."""
+    lead = np.flatnonzero((part & 0xC0) != 0x80)
+    if not len(lead) or lead[0]:
+        lead = np.concatenate([[0], lead])
+    return np.repeat(np.minimum.reduceat(stays, lead), np.diff(np.append(lead, len(part))))
+
+
 def _cut(length: int):
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            sizes, removed, spans, kept = [], [], [], []
+            sizes, removed, spans, kept, texts = [], [], [], [], []
             for k, (at, n) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 part = data[offsets[k] : offsets[k + 1]]
                 own = removed_spans(at or [], n or [], length)
@@ -218,34 +226,32 @@ def _cut(length: int):
                 removed.append(sum(b - a for a, b in own))
                 spans.append([{"start": a, "end": b} for a, b in own])
                 kept.append(part[stays].tobytes())
-            values = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *values], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+                texts.append(part[_whole_characters(part, stays)].tobytes().decode("utf-8", "replace") if own else batch.column(1)[k].as_py())
+            values = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *values], ["doc_id", "n_bytes", "n_removed", "spans", "kept", "text"])
 
     return run
 
 
-_NULL_ID = -(1 << 63)
-
-
 def cut_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """A row per document: bytes, bytes removed, the maximal removed runs (from start up to end), and the bytes that stay."""
+    """A row per document: bytes, bytes removed, the maximal removed runs (from start up to end), the bytes that stay, and as text the
+    characters that stay whole."""
     spark = docs.sparkSession
     small_batches(spark)
     if length % 2 or block >= length // 4:
         raise ValueError("length must be even and more than four blocks")
-    texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).select("doc", F.hash("text").alias("h"), "text")
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    texts = own.select("doc_id", *[F.xxhash64(F.lit(k), "doc_id", "text").alias(name) for k, name in enumerate(_ROW)], "text")
     with Scratch(spark, "substrings") as tmp:
         ranges = written(repeated(tmp, texts, length, block), "ranges")
     own = ranges.groupBy(*_ROW).agg(F.collect_set(F.struct("at", "n")).alias("own")).select(*_ROW, F.col("own.at").alias("at"), F.col("own.n").alias("n"))
-    done = texts.join(own.hint("merge"), _ROW, "left").select("doc", "text", "at", "n").mapInArrow(_cut(length), SCHEMA)
-    return done.withColumn("doc_id", F.when(F.col("doc_id") != _NULL_ID, F.col("doc_id")))
+    return texts.join(own.hint("merge"), _ROW, "left").select("doc_id", "text", "at", "n").mapInArrow(_cut(length), SCHEMA)
 
 
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     """Digests of cut_repeats. `text` and `n_kept` are what stays; a character of which bytes were removed is left out of `text`."""
     done = cut_repeats(docs, **options)
-    left = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
-    return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), left.alias("text"))
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), "text")
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

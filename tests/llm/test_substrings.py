@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from millrace.llm import substrings as S
 
 
@@ -65,3 +67,31 @@ def test_repeated_ids_and_kept_text(spark):
     assert [(a, c, d) for a, _, c, d in out] == [(a, c, d) for a, _, c, d in want] and [b for _, b, _, _ in out] == [b for _, b, _, _ in want]
     whole = {(r["doc_id"], bytes(r["kept"])): [tuple(x) for x in r["spans"]] for r in S.cut_repeats(df, length=100, block=10).collect()}
     assert whole[1, heads[0].encode()] == [(130, 250)] and whole[1, heads[1].encode()] == [(0, 120)]
+
+
+def java_hash_twins(spark, n=120_000, size=519):
+    """Two random texts of one length whose 32-bit Spark hashes are equal."""
+    made = spark.range(n).select(F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(size)), lambda k: F.substr(F.lit("abcdefghijklmnop"), (F.pmod(F.xxhash64("id", k), F.lit(16)) + 1).cast("int"), F.lit(1)))).alias("text"))
+    twins = made.groupBy(F.hash("text").alias("h")).agg(F.collect_list("text").alias("t")).where("size(t) > 1").first()
+    return twins["t"][:2]
+
+
+def test_texts_of_one_id_whose_hashes_collide(spark):
+    """Only one of two texts without an id is repeated elsewhere; they share a 32-bit hash."""
+    one, two = java_hash_twins(spark)
+    df = spark.createDataFrame([(None, one), (None, two), (7, two)], "doc_id long, text string")
+    assert df.select(F.hash("text")).distinct().count() == 1
+    want = brute([(0, one), (1, two), (2, two)], 400)
+    assert want[0][1] == 0 and sorted(r["n_removed"] for r in S.remove_repeats(df, length=400).collect()) == sorted(w[1] for w in want.values()) == [0, 519, 519]
+
+
+def test_characters_that_stay_are_whole(spark):
+    both = "".join(chr(65 + k % 26) * (k % 5 + 1) for k in range(40))[:100]
+    rows = [(1, "keep � this"), (2, "é" + both + "€"), (3, "x" + both + "y�")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in S.remove_repeats(df, length=100, block=10).collect()}
+    assert got == {1: "keep � this", 2: "é€", 3: "xy�"}
+    half = "é" * 60  # a run that begins within a character
+    df = spark.createDataFrame([(1, "a" + half), (2, "b" + half[:-1] + "è")], "doc_id long, text string")
+    for r in S.remove_repeats(df, length=100, block=10).collect():
+        assert set(r["text"]) <= set("abéè")
