@@ -13,11 +13,12 @@ are all that later bytes can ask for: that is the state. States are made when fi
 own, so a piece's exit count needs no composition. A worker remembers the counts of pieces it has met.
 
 Defined cases: null and empty texts have no tokens; special strings inside a text are one token each, as the library has
-it; other columns are not read.
+it; repeated rows are counted each; a text of any length is read whole; an empty table gives one; other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -32,6 +33,8 @@ from .common import Rolling, documents, mix, small_batches, spread, steps, utf8
 from .tokens import LETTER, NUMBER, REMEMBERED, SPACE, Known, classes, code_points, cut_out, tokenizer_path
 
 TOKENIZER, LIMIT, CHUNK = "word_bpe_49k.json", 2048, 128
+#: Symbols up to which a piece is named by its rolling hash.
+LONG = 64
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 # symbols of the splitter
@@ -260,6 +263,9 @@ class Compiled:
         back[place] = np.arange(len(codes))
         first = back[starts]
         names = Rolling(codes).of(first, first + (ends - starts))
+        for k in np.flatnonzero(ends - starts > LONG).tolist():  # sums of powers modulo 2^64 are equal for some long pieces, whatever the base
+            piece = codes[first[k] : first[k] + ends[k] - starts[k]].tobytes()
+            names[k] = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little")
         found = self.known.find(names)
         if (new := np.flatnonzero(found < 0)).size:
             fresh, one = np.unique(names[new], return_index=True)

@@ -51,3 +51,17 @@ def test_query(spark, library):
     df = spark.createDataFrame([(i, t, 3) for i, t in enumerate(TEXTS)], "doc_id long, text string, n_tokens long")
     assert {r[0]: r[2] for r in C.token_counts(df).collect()} == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(TEXTS)}
     assert C.token_counts(df.where("false")).count() == 0
+
+
+def test_long_pieces_of_one_polynomial_hash():
+    """Thue-Morse words and their complements have equal hashes for every base modulo 2^64; their counts differ."""
+    from tokenizers import Tokenizer
+
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("as", "sa"))
+        if len(word) >= 1024:
+            pair = [word, word.translate(str.maketrans("as", "sa"))]
+            data = np.frombuffer("".join(pair).encode(), np.uint8)
+            got = C.Compiled(PATH).tokens(data, np.array([0, len(word), 2 * len(word)]))
+            assert got.tolist() == [len(Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids) for t in pair]
