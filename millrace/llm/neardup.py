@@ -259,6 +259,12 @@ def cross_component_pairs(tmp: Scratch, keys: DataFrame, labels: DataFrame, reps
     return tmp.written(row.mapInArrow(_compare(percent), "a long, b long").distinct(), "pairs")
 
 
+def _same_document(member: DataFrame) -> DataFrame:
+    """(a, b): classes that texts of one doc_id link, each with the smallest of them."""
+    several = member.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a <> last").select("doc_id", "a")
+    return member.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, halves: int = HALVES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """A row per document: the size of its shingle set, the smallest doc_id that links reach, and whether it is that."""
     small_batches(docs.sparkSession)
@@ -269,20 +275,20 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         digest = ["n_shingles", "d1", "d2"]
         classes = full.groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("lefts").alias("lefts"), F.first("rights").alias("rights"))
         reps = tmp.written(classes, "classes")
+        member = tmp.written(features.select("doc_id", *digest).join(reps.select(*digest, "rep"), digest, "left").select("doc_id", "n_shingles", "rep"), "members")
         keys = tmp.written(table_keys(reps), "keys")
         leaders = keys.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
         first = tmp.written(keys.join(leaders, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "first")
         met = keys.select(F.col("rep").alias("doc_id")).distinct()
         near = tmp.written(texts.where("text IS NOT NULL").join(met.hint("merge"), "doc_id").select("doc_id", "text"), "near")
-        links = confirmed(tmp, near, first, size, percent)
+        links = confirmed(tmp, near, first, size, percent).unionByName(tmp.written(_same_document(member), "same"))
         labels = components(links)
         more = confirmed(tmp, near, cross_component_pairs(tmp, keys, labels, reps, near, size, percent), size, percent)
         links = links.unionByName(more)
         if not more.isEmpty():
             labels = components(links)
-        of_rep = reps.select(*digest, "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*digest, F.coalesce("component", "rep").alias("component"))
-        named = features.select("doc_id", *digest).join(of_rep, digest, "left")
-        component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+        named = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+        component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
         out = named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
         return written(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "neardup")
 

@@ -98,3 +98,16 @@ def test_heavy_and_light_buckets(spark):
         got = sorted(tuple(r) for r in N._mixed(tmp, named).collect())
         assert N._mixed(tmp, named.where("false")).count() == 0
     assert got == sorted([r for r in rows if r[1] == -2] + [(1, 2, 1, 1), (1, 2, 2, 2)])
+
+
+def test_texts_of_one_id_go_or_stay_together(spark):
+    """Two texts of one id are one document: linked by either, and all rows of a document that is marked kept stay."""
+    words = lambda seed, n=40: " ".join(f"w{seed}x{k}" for k in range(n))
+    rows = [(0, words(1)), (1, words(1)), (1, words(2)), (3, words(3)), (3, words(4)), (5, words(4)), (9, words(2) + " tail"), (None, words(3)), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in N.near_duplicates(df).collect()}
+    by = {i: (c, k) for i, _, c, k in got}
+    assert by == {0: (0, True), 1: (0, False), 3: (3, True), 5: (3, False), 9: (0, False), None: (None, True), 7: (7, True)}
+    assert len({(i, c, k) for i, _, c, k in got}) == len(by)  # one verdict for each id
+    left = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in N.representatives(df).collect())
+    assert left == sorted([(0, words(1)), (3, words(3)), (3, words(4)), (-1, words(3)), (7, "")])
