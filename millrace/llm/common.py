@@ -20,17 +20,21 @@ BATCH_ROWS, BATCH_BYTES = "256", "16m"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_fallback: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir. Where that is unset, a local session (tests) gets a
-    temporary folder; on a cluster executors could not see one, so there it is an error."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        atexit.register(shutil.rmtree, where.removeprefix("file://"), True)
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    temporary folder of its own; on a cluster executors could not see one, so there it is an error."""
+    if where := spark.conf.get("spark.checkpoint.dir", None):
+        return where
+    if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master", "").startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _fallback:
+        _fallback[app] = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        atexit.register(shutil.rmtree, _fallback[app].removeprefix("file://"), True)
+    return _fallback[app]
 
 
 def _write(df: DataFrame, path: str) -> DataFrame:
