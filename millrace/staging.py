@@ -10,16 +10,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_fallback: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir. Where that is unset a local session (tests) gets a temporary folder; on a cluster it is an error."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="millrace-core-")
-        atexit.register(shutil.rmtree, where.removeprefix("file://"), True)
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    """spark.checkpoint.dir. Where that is unset a local session (tests) gets a temporary folder of its own; on a cluster it is an error."""
+    if where := spark.conf.get("spark.checkpoint.dir", None):
+        return where
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _fallback:
+        _fallback[app] = "file://" + tempfile.mkdtemp(prefix="millrace-core-")
+        atexit.register(shutil.rmtree, _fallback[app].removeprefix("file://"), True)
+    return _fallback[app]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
