@@ -95,18 +95,32 @@ def filings_matched(stored: DataFrame, incoming: DataFrame, keys: Sequence[str],
 
 
 def persisted(candidates: DataFrame, sources: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Enumerated jobs matched in two stages. candidates: row_id, company, provider, raw_id, title, city; sources: provider, raw_id,
-    job_id; jobs: job_id, company, title, city. A known source is refreshed (a `conflict` if its job is another company's); else a
-    job of equal company, title and city gets a source; else the first candidate of these makes the job and others join it."""
-    known = sources.join(jobs.select("job_id", F.col("company").alias("_owner")), "job_id", "left").select("provider", "raw_id", F.col("job_id").alias("_job"), "_owner")
+    """Enumerated jobs, as if they came one by one in the order of row_id: (row_id, action, job_id, made_by). candidates: row_id, company,
+    provider, raw_id, title, city; sources: provider, raw_id, job_id; jobs: job_id, company, title, city; a null city is "".
+
+    A known source is refreshed, or a `conflict` if its job is another company's; so is one that an earlier candidate of the batch has just
+    added. Else a job of equal company, title and city gets a source; else the first candidate of these makes the job and others join
+    it: job_id is null then, and made_by names that candidate's row. A candidate without provider or raw_id has a source of its own."""
+    candidates = candidates.withColumn("city", F.coalesce("city", F.lit("")))
+    jobs = jobs.withColumn("city", F.coalesce("city", F.lit("")))
+    owned = jobs.select("job_id", F.col("company").alias("_owner"))
+    known = sources.join(owned, "job_id", "left").select("provider", "raw_id", F.col("job_id").alias("_job"), "_owner")
     first = candidates.join(known, ["provider", "raw_id"], "left")
+    verdict = lambda owner: F.when(owner.eqNullSafe(F.col("company")), "refreshed").otherwise("conflict")
+    seen = first.where("_job IS NOT NULL").select("row_id", verdict(F.col("_owner")).alias("action"), F.col("_job").alias("job_id"), F.lit(None).cast("long").alias("made_by"))
+
+    rest = first.where("_job IS NULL").drop("_job", "_owner")
+    openers = rest.where("provider IS NOT NULL AND raw_id IS NOT NULL").groupBy("provider", "raw_id").agg(F.min(F.struct("row_id", "company", "title", "city")).alias("_opener"))
+    rest = rest.join(openers, ["provider", "raw_id"], "left").withColumn("_opener", F.coalesce("_opener", F.struct("row_id", "company", "title", "city")))
+    opening = rest.where(F.col("row_id") == F.col("_opener.row_id"))
     named = jobs.groupBy("company", "title", "city").agg(F.min("job_id").alias("_same"))
-    rest = first.where("_job IS NULL").join(named, ["company", "title", "city"], "left")
-    leads = rest.where("_same IS NULL").groupBy("company", "title", "city").agg(F.min("row_id").alias("_lead"))
-    rest = rest.join(leads, ["company", "title", "city"], "left")
-    action = F.when(F.col("_same").isNotNull(), "source_added").when(F.col("row_id") == F.col("_lead"), "job_created").otherwise("source_added")
-    seen = first.where("_job IS NOT NULL").select("row_id", F.when(F.col("_owner").eqNullSafe(F.col("company")), "refreshed").otherwise("conflict").alias("action"), F.col("_job").alias("job_id"))
-    return seen.unionByName(rest.select("row_id", action.alias("action"), F.col("_same").alias("job_id")))
+    opening = opening.join(named, ["company", "title", "city"], "left")
+    leads = opening.where("_same IS NULL").groupBy("company", "title", "city").agg(F.min("row_id").alias("_lead"))
+    opened = opening.join(leads, ["company", "title", "city"], "left").select("row_id", F.col("_same").alias("job_id"), F.when(F.col("_same").isNull(), F.coalesce("_lead", "row_id")).alias("made_by"))
+    new = opened.select("row_id", F.when(F.col("row_id") == F.col("made_by"), "job_created").otherwise("source_added").alias("action"), "job_id", F.col("made_by").cast("long").alias("made_by"))
+    later = rest.where(F.col("row_id") != F.col("_opener.row_id")).select("row_id", verdict(F.col("_opener.company")).alias("action"), F.col("_opener.row_id").alias("_by"))
+    later = later.join(opened.select(F.col("row_id").alias("_by"), "job_id", "made_by"), "_by").select("row_id", "action", "job_id", F.col("made_by").cast("long").alias("made_by"))
+    return seen.unionByName(new).unionByName(later)
 
 
 def alias_sets(companies: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import broadcast_if_few, staged
 from .windows import dense_positions, midranks
 
 #: Points a component can give (fixed values), in declared order.
@@ -21,9 +22,10 @@ def stage(founded: Column, staff: Column, as_of: Column) -> Column:
 
 
 def merge_small_stages(rows: DataFrame, column: str = "stage") -> DataFrame:
-    """Early and mature stages with fewer than five members become growth; growth never merges."""
-    n = F.count("*").over(Window.partitionBy(column))
-    return rows.withColumn("_n", n).withColumn(column, F.when((F.col(column) != GROWTH) & (F.col("_n") < SMALLEST_STAGE), GROWTH).otherwise(F.col(column))).drop("_n")
+    """Early and mature stages with fewer than five members become growth; growth never merges. Two counts are all that is gathered."""
+    sizes = {stage: F.count_if(F.col(column) == stage) for stage in (EARLY, MATURE)}
+    small = [stage for stage, n in rows.agg(*[n.alias(s) for s, n in sizes.items()]).first().asDict().items() if n < SMALLEST_STAGE]
+    return rows.withColumn(column, F.when(F.col(column).isin(small), GROWTH).otherwise(F.col(column))) if small else rows
 
 
 def capped_counts(signals: DataFrame, key: str, **rules: tuple[Column, int, int]) -> DataFrame:
@@ -32,13 +34,15 @@ def capped_counts(signals: DataFrame, key: str, **rules: tuple[Column, int, int]
 
 
 def calibrated(rows: DataFrame, stage_column: str, components: dict[str, int]) -> DataFrame:
-    """Each raw component replaced by its mid-rank percentile within the stage times its maximum, rounded half to even, and `total`."""
+    """Each raw component replaced by its mid-rank percentile within the stage times its maximum, rounded half to even, and `total`. Points
+    belong to distinct values; where those are few (counted first), rows meet them in place."""
     each = F.explode(F.array(*[F.struct(F.lit(name).alias("component"), F.col(name).cast("double").alias("value")) for name in components])).alias("c")
-    shares = midranks(rows.select(stage_column, each).select(stage_column, "c.*"), "value", ["component", stage_column], "share")
+    shares = staged(midranks(rows.select(stage_column, each).select(stage_column, "c.*"), "value", ["component", stage_column], "share"), "shares")
+    beside = broadcast_if_few(shares)
     out = rows
     for name, most in components.items():
         own = shares.where(F.col("component") == name).select(stage_column, F.col("value").alias("_value"), F.bround(F.col("share") * most).cast("long").alias("_points"))
-        met = out.withColumn("_value", F.col(name).cast("double")).join(own, [stage_column, "_value"], "left")
+        met = out.withColumn("_value", F.col(name).cast("double")).join(beside(own), [stage_column, "_value"], "left")
         out = met.withColumn(name, F.coalesce("_points", F.lit(0).cast("long"))).drop("_value", "_points")
     return out.withColumn("total", sum((F.col(c) for c in components), F.lit(0)))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 from operator import and_, or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,7 +169,20 @@ def validated(rows: DataFrame, rules: Mapping[str, Column]) -> tuple[DataFrame,
     return judged.where(F.size("reasons") == 0).drop("reasons"), judged.where(F.size("reasons") > 0)
 
 
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One running SHA-256 over sorted ids, whatever their number."""
+    digest, n, last, twice = hashlib.sha256(), 0, None, False
+    for batch in batches:
+        for one in batch.column(0).to_pylist():
+            digest.update(one.encode() if n == 0 else b"\n" + one.encode())
+            twice, last, n = twice or one == last, one, n + 1
+    yield pa.record_batch([pa.array([digest.hexdigest()]), pa.array([n], pa.int64()), pa.array([twice])], names=["digest", "n", "twice"])
+
+
 def fingerprint(rows: DataFrame, column: str) -> DataFrame:
-    """One digest of a set of ids: sorted, joined by line ends; null if an id occurs twice."""
-    ids = F.sort_array(F.collect_list(F.col(column).cast("string")))
-    return rows.agg(F.when(F.count(column) == F.countDistinct(column), F.sha2(F.array_join(ids, "\n"), 256)).alias("fingerprint"), F.count(column).alias("n"))
+    """One digest of a set of ids: sorted, joined by line ends; null if an id occurs twice. A digest of a sorted list is made in its
+    order, so one task reads the ids (and nothing else of the rows) from an external sort, a batch at a time."""
+    ids = rows.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("id"))
+    told = ids.repartition(1).sortWithinPartitions("id").mapInArrow(_digest, "digest string, n long, twice boolean")
+    empty = F.sha2(F.lit(""), 256)
+    return told.agg(F.when(~F.coalesce(F.bool_or("twice"), F.lit(False)), F.coalesce(F.max_by("digest", "n"), empty)).alias("fingerprint"), F.coalesce(F.max("n"), F.lit(0)).alias("n"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..staging import staged
+from ..staging import broadcast_if_few, staged
 
 
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -106,21 +106,42 @@ def largest_remainder(strata: DataFrame, count: str, seats: int, order: Sequence
     return placed.withColumn("seats", F.col("_base") + (F.col("_place") <= F.col("_left")).cast("long")).drop("_all", "_base", "_rest", "_place", "_left")
 
 
+#: Ranges of hashes that are counted per stratum: the first four hex digits.
+HASH_DIGITS = 4
+
+
+def _edges(hashed: DataFrame, strata: Sequence[str], seats: DataFrame) -> DataFrame:
+    """(strata, _edge, _rest): a stratum's sample has all rows whose hash begins below _edge, and the first _rest of those that begin
+    with it. seats: (strata, _seats). Rows are counted by the beginning of their hash, so no stratum meets in a task."""
+    counts = hashed.groupBy(*strata, "_head").agg(F.count("*").alias("_n")).join(seats, list(strata))
+    so_far = Window.partitionBy(*strata).orderBy("_head").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = counts.withColumn("_upto", F.sum("_n").over(so_far)).where(F.col("_upto") >= F.col("_seats"))
+    first = reached.groupBy(*strata).agg(F.min(F.struct("_head", (F.col("_seats") - F.col("_upto") + F.col("_n")).alias("_rest"))).alias("_e"))
+    return first.select(*strata, F.col("_e._head").alias("_edge"), F.col("_e._rest").alias("_rest"))
+
+
+def bottom_by_hash(rows: DataFrame, strata: Sequence[str], identity: str, seed: str, seats: DataFrame) -> DataFrame:
+    """The first _seats rows of each stratum by hash, ties by identity; all, if it has fewer. Only rows whose hash begins like the last
+    one taken are put in order: one in 65536 of a stratum."""
+    hashed = rows.withColumn("_hash", hash_rank(F.col(identity), seed)).withColumn("_head", F.substr("_hash", F.lit(1), F.lit(HASH_DIGITS)))
+    limits = staged(seats.join(_edges(hashed, strata, seats), list(strata), "left"), "limits")
+    judged = hashed.join(broadcast_if_few(limits)(limits), list(strata))
+    whole = judged.where((F.col("_seats") > 0) & (F.col("_edge").isNull() | (F.col("_head") < F.col("_edge"))))
+    edge = judged.where(F.col("_head") == F.col("_edge")).withColumn("_rank", F.row_number().over(Window.partitionBy(*strata).orderBy("_hash", identity)))
+    return whole.select(rows.columns).unionByName(edge.where(F.col("_rank") <= F.col("_rest")).select(rows.columns))
+
+
 def stratified_sample(rows: DataFrame, stratum: Column, identity: str, seats: int, seed: str) -> DataFrame:
     """A proportional sample that is the same for the same seed: seats by largest remainder, rows by the rank of a hash."""
     named = rows.withColumn("stratum", stratum)
     quota = largest_remainder(named.groupBy("stratum").agg(F.count("*").alias("n")), "n", seats, ["stratum"])
-    ranked = named.withColumn("_hash", hash_rank(F.col(identity), seed))
-    ranked = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy("stratum").orderBy("_hash", identity)))
-    return ranked.join(quota.select("stratum", "seats"), "stratum").where("_rank <= seats").drop("_hash", "_rank", "seats")
+    return bottom_by_hash(named, ["stratum"], identity, seed, quota.select("stratum", F.col("seats").alias("_seats")))
 
 
 def share_sample(rows: DataFrame, strata: Sequence[str], identity: str, share: str, seed: str) -> DataFrame:
     """ceil(share) of each stratum and at least one row, by the rank of a hash. The share is a decimal, as text."""
-    n = F.count("*").over(Window.partitionBy(*strata))
-    take = F.greatest(F.lit(1), F.ceil(n * F.lit(share).cast("decimal(10,6)"))).cast("long")
-    ranked = rows.withColumn("_take", take).withColumn("_rank", F.row_number().over(Window.partitionBy(*strata).orderBy(hash_rank(F.col(identity), seed), identity)))
-    return ranked.where("_rank <= _take").drop("_take", "_rank")
+    take = F.greatest(F.lit(1), F.ceil(F.count("*") * F.lit(share).cast("decimal(10,6)"))).cast("long")
+    return bottom_by_hash(rows, strata, identity, seed, rows.groupBy(*strata).agg(take.alias("_seats")))
 
 
 def floor_and_share(strata: DataFrame, count: str, seats: int, floor_percent: int = 40) -> DataFrame:

@@ -27,3 +27,10 @@ def query(sql: str | None = None):
         return function
 
     return register
+
+
+def also(name: str, of: str) -> None:
+    """A second name of a query, registered earlier under both: one query, one SQL."""
+    QUERIES[name] = QUERIES[of]
+    if of in ORACLE:
+        ORACLE[name] = ORACLE[of]

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import lifecycle as L
 from ..operators import relational as R
+from ..operators import search_index as I
 from ..operators import windows as W
-from .base import Tables, query
+from ..staging import shared_folder
+from .base import Tables, also, query
 
 _LAST = "TIMESTAMP '2024-01-30 00:00:00'"
 LAST = "2024-01-30 00:00:00"
@@ -27,6 +32,20 @@ def search_tiered(t: Tables):
     return parts[0].unionByName(parts[1])
 
 
+@query("""
+WITH q(q) AS (VALUES ('ring'), ('red g'), ('large'), ('ed'), ('zzz')), e AS (SELECT p_partkey, lower(p_name) AS name, lower(p_type) AS alias, q FROM part, q)
+SELECT p_partkey, q, CASE WHEN name = q THEN 0 WHEN alias = q THEN 1 WHEN starts_with(name, q) THEN 2 WHEN starts_with(alias, q) THEN 3 WHEN contains(name, q) THEN 4 ELSE 5 END AS tier
+FROM e WHERE contains(name, q) OR contains(alias, q)
+""")
+def search_indexed(t: Tables):
+    """Several searches over indexes of names and aliases that are written first."""
+    spark, folder = t.spark, f"{shared_folder(t.spark)}/index-{uuid.uuid4().hex}"
+    I.build(t.part.select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("name")), f"{folder}/names", 8)
+    I.build(t.part.select(F.col("p_partkey").alias("id"), F.lower("p_type").alias("name")), f"{folder}/aliases", 8)
+    found = [I.search(spark, f"{folder}/names", f"{folder}/aliases", q, 8).select(F.col("id").alias("p_partkey"), F.lit(q).alias("q"), "tier") for q in ("ring", "red g", "large", "ed", "zzz")]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("""
 SELECT p_partkey, p_name, tier FROM (SELECT p_partkey, p_name, CASE WHEN lower(p_name) = 'ring' THEN 0 WHEN starts_with(lower(p_name), 'ring') THEN 2 WHEN contains(lower(p_name), 'ring') THEN 4 ELSE 6 END AS tier FROM part)
 WHERE tier < 6 ORDER BY tier, p_name, p_partkey LIMIT 20 OFFSET 20
@@ -122,11 +141,7 @@ def cross_name_conflict(t: Tables):
     return a.join(b, (a["name"] == b["n"]) & (a["brand"] != b["other"])).select("name", "brand", "other").distinct()
 
 
-@query("SELECT DISTINCT a.p_name AS name, a.p_brand AS brand, b.p_brand AS other FROM (SELECT DISTINCT p_name, p_brand FROM part) a JOIN (SELECT DISTINCT p_name, p_brand FROM part) b ON a.p_name = b.p_name AND a.p_brand <> b.p_brand")
-def all_name_conflicts(t: Tables):
-    a = t.part.select(F.col("p_name").alias("name"), F.col("p_brand").alias("brand")).distinct()
-    b = a.select(F.col("name").alias("n"), F.col("brand").alias("other"))
-    return a.join(b, (a["name"] == b["n"]) & (a["brand"] != b["other"])).select("name", "brand", "other").distinct()
+also("all_name_conflicts", "cross_name_conflict")
 
 
 @query("SELECT p_partkey, word FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) WHERE word IN ('red', 'ring', 'gear')")
@@ -162,10 +177,7 @@ def suppressed_union(t: Tables):
     return R.with_suppressed(stored, t.events.select(F.col("user_id").alias("id")).distinct().withColumn("origin", F.lit("events")), ["id"])
 
 
-@query("SELECT o_custkey AS id, 'orders' AS origin FROM (SELECT DISTINCT o_custkey FROM orders) UNION ALL SELECT DISTINCT user_id, 'events' FROM events WHERE user_id NOT IN (SELECT o_custkey FROM orders)")
-def all_suppressed_union(t: Tables):
-    stored = t.orders.select(F.col("o_custkey").alias("id")).distinct().withColumn("origin", F.lit("orders"))
-    return R.with_suppressed(stored, t.events.select(F.col("user_id").alias("id")).distinct().withColumn("origin", F.lit("events")), ["id"])
+also("all_suppressed_union", "suppressed_union")
 
 
 @query("SELECT s_suppkey, s_acctbal >= 0 AND s_nationkey < 20 AS valid, CASE WHEN s_acctbal < 0 AND s_nationkey >= 20 THEN 'balance,nation' WHEN s_acctbal < 0 THEN 'balance' WHEN s_nationkey >= 20 THEN 'nation' ELSE '' END AS reasons FROM supplier")

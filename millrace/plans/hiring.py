@@ -128,17 +128,28 @@ def filings_identity(t: Tables):
 
 
 @query("""
-WITH c AS (SELECT o_orderkey AS row_id, o_custkey AS company, o_orderpriority AS title, o_orderstatus AS city FROM orders),
-j AS (SELECT min(o_orderkey) AS job_id, o_custkey AS company, o_orderpriority AS title, o_orderstatus AS city FROM orders WHERE o_orderstatus <> 'O' GROUP BY 2, 3, 4),
-s AS (SELECT c.row_id, j.job_id, j.company FROM c JOIN j ON c.row_id = j.job_id),
-f AS (SELECT c.*, s.job_id AS known, j.job_id AS same, min(c.row_id) FILTER (WHERE s.job_id IS NULL) OVER (PARTITION BY c.company, c.title, c.city) AS lead FROM c LEFT JOIN s USING (row_id) LEFT JOIN j ON c.company = j.company AND c.title = j.title AND c.city = j.city)
-SELECT row_id, CASE WHEN known IS NOT NULL THEN 'refreshed' WHEN same IS NOT NULL THEN 'source_added' WHEN row_id = lead THEN 'job_created' ELSE 'source_added' END AS action, coalesce(known, same) AS job_id FROM f
+WITH c AS (SELECT o_orderkey AS row_id, o_custkey % 12 AS company, o_orderpriority AS title, coalesce(nullif(o_orderstatus, 'P'), '') AS city,
+    CASE WHEN o_orderkey % 5 = 0 THEN 's' || o_orderkey ELSE 'n' || (o_orderkey // 6) END AS raw_id FROM orders),
+j AS (SELECT min(row_id) AS job_id, company, title, city FROM c WHERE row_id % 25 = 0 GROUP BY ALL),
+s AS (SELECT 's' || job_id AS raw_id, job_id, company AS owner FROM j),
+f AS (SELECT c.*, s.job_id AS known, s.owner FROM c LEFT JOIN s USING (raw_id)),
+o AS (SELECT *, arg_min(row_id, row_id) OVER w AS opener, first_value(company) OVER w AS opened_by FROM f WHERE known IS NULL WINDOW w AS (PARTITION BY raw_id ORDER BY row_id)),
+n AS (SELECT o.row_id, o.raw_id, j.job_id, CASE WHEN j.job_id IS NULL THEN min(o.row_id) OVER (PARTITION BY o.company, o.title, o.city) END AS made_by
+  FROM o LEFT JOIN j ON o.company = j.company AND o.title = j.title AND o.city = j.city WHERE o.row_id = o.opener)
+SELECT row_id, CASE WHEN owner = company THEN 'refreshed' ELSE 'conflict' END AS action, known AS job_id, NULL::BIGINT AS made_by FROM f WHERE known IS NOT NULL
+UNION ALL SELECT row_id, CASE WHEN row_id = made_by THEN 'job_created' ELSE 'source_added' END, job_id, made_by FROM n
+UNION ALL SELECT o.row_id, CASE WHEN o.company = o.opened_by THEN 'refreshed' ELSE 'conflict' END, n.job_id, n.made_by FROM o JOIN n USING (raw_id) WHERE o.row_id <> o.opener
 """)
 def enumeration_persist(t: Tables):
-    o = t.orders.select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("company"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("city"))
-    jobs = o.where("city <> 'O'").groupBy("company", "title", "city").agg(F.min("row_id").alias("job_id"))
-    sources = jobs.select(F.lit("p").alias("provider"), F.col("job_id").cast("string").alias("raw_id"), "job_id")
-    return H.persisted(o.select("*", F.lit("p").alias("provider"), F.col("row_id").cast("string").alias("raw_id")), sources, jobs)
+    """Orders as enumerated jobs: raw ids repeat within the batch, also for other companies, and cities may be null."""
+    raw = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("s"), F.col("o_orderkey").cast("string"))).otherwise(F.concat(F.lit("n"), F.expr("o_orderkey div 6").cast("string")))
+    o = t.orders.select(
+        F.col("o_orderkey").alias("row_id"), (F.col("o_custkey") % 12).alias("company"), F.lit("p").alias("provider"), raw.alias("raw_id"),
+        F.col("o_orderpriority").alias("title"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("city"),
+    )
+    jobs = o.where("row_id % 25 = 0").groupBy("company", "title", "city").agg(F.min("row_id").alias("job_id"))
+    sources = jobs.select(F.lit("p").alias("provider"), F.concat(F.lit("s"), F.col("job_id").cast("string")).alias("raw_id"), "job_id")
+    return H.persisted(o, sources, jobs)
 
 
 @query("""

@@ -9,7 +9,7 @@ from ..operators import frontier as C
 from ..operators import graph as G
 from ..operators import relational as R
 from ..operators import resolve as E
-from .base import Tables, query
+from .base import Tables, also, query
 
 
 @query("""
@@ -36,10 +36,7 @@ def fuzzy_components(t: Tables):
     return G.connected_components(t.lineitem.select((2 * F.col("l_partkey")).alias("a"), (2 * F.col("l_suppkey") + 1).alias("b")).distinct())
 
 
-@query()
-def part_supplier_components(t: Tables):
-    """Parts (even ids) and suppliers (odd ids) linked by any line of an order, over the whole table."""
-    return G.connected_components(t.lineitem.select((2 * F.col("l_partkey")).alias("a"), (2 * F.col("l_suppkey") + 1).alias("b")).distinct())
+also("part_supplier_components", "fuzzy_components")
 
 
 _GRAMS = "list_distinct(flatten(list_transform(string_split(lower(name), ' '), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
@@ -75,10 +72,10 @@ def similar_names(t: Tables):
 
 @query()
 def similar_titles(t: Tables):
-    """Every part against all parts of its brand and type: itself, or one of equal title and larger id."""
-    new = t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("owner"), F.col("p_type").alias("city"), F.col("p_name").alias("title"))
-    known = t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("owner"), F.col("p_type").alias("city"), F.col("p_name").alias("title"))
-    return E.resolved_titles(new, known).select("id", "known", F.round("score", 6).alias("score"))
+    """Parts of odd keys against those of even keys, by brand and type: titles that are alike but for a word or two, or not at all."""
+    words = F.element_at(F.array(*map(F.lit, ("mark one", "mark two", "second edition", "large", "large size", ""))), (F.expr("p_partkey div 2") % 6 + 1).cast("int"))
+    titles = t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("owner"), F.col("p_type").alias("city"), F.concat_ws(" ", "p_name", words).alias("title"))
+    return E.resolved_titles(titles.where("id % 2 = 1"), titles.where("id % 2 = 0")).select("id", "known", F.round("score", 6).alias("score"))
 
 
 @query("""
@@ -93,16 +90,7 @@ def resolver_decisions(t: Tables):
     return seen.select("p_name", kind.alias("kind"), F.array_join(reasons, ",").alias("reasons"))
 
 
-@query("""
-WITH c AS (SELECT p_name, count(DISTINCT p_brand) AS owners, bool_or(p_size > 49) AS conflicts, count(*) FILTER (WHERE p_type = 'PROMO') AS near, min(length(p_name)) <= 8 AS short FROM part GROUP BY 1),
-d AS (SELECT p_name, owners % 3 AS owners, conflicts, near % 2 AS near, short FROM c)
-SELECT p_name, CASE WHEN owners > 1 THEN 'review' WHEN owners = 1 AND NOT conflicts THEN 'existing' WHEN owners = 1 THEN 'review' WHEN near > 0 THEN 'review' ELSE 'new' END AS kind,
-  concat_ws(',', CASE WHEN owners > 1 THEN 'ambiguous_owner' END, CASE WHEN owners = 1 AND conflicts THEN 'conflicting_evidence' END, CASE WHEN owners = 0 AND near > 0 AND short THEN 'short_name' END, CASE WHEN owners = 0 AND near > 0 THEN 'similar_name' END) AS reasons FROM d
-""")
-def all_resolver_decisions(t: Tables):
-    seen = t.part.groupBy("p_name").agg((F.countDistinct("p_brand") % 3).alias("owners"), F.bool_or(F.col("p_size") > 49).alias("conflicts"), (F.count_if(F.col("p_type") == "PROMO") % 2).alias("near"), (F.min(F.length("p_name")) <= 8).alias("short"))
-    kind, reasons = E.decision(F.col("owners"), F.col("conflicts"), F.lit(True), F.col("near"), F.col("short"))
-    return seen.select("p_name", kind.alias("kind"), F.array_join(reasons, ",").alias("reasons"))
+also("all_resolver_decisions", "resolver_decisions")
 
 
 @query("""
@@ -118,17 +106,7 @@ def audit_findings(t: Tables):
     return E.findings(("shared_name", "high", shared), ("unlabelled", "low", orphan), ("name_drift", "medium", drift))
 
 
-@query("""
-WITH f AS (SELECT 'shared_name' AS code, 'high' AS severity, p_name AS subject FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) > 1
-UNION ALL SELECT 'unlabelled', 'low', doc_id::VARCHAR FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
-UNION ALL SELECT 'name_drift', 'medium', c_custkey::VARCHAR FROM customer WHERE lower(c_name) <> c_name)
-SELECT *, sha256(code || '|' || subject) AS finding_id FROM f
-""")
-def all_audit_findings(t: Tables):
-    shared = R.shared_keys(t.part, "p_name", "p_brand").select(F.col("p_name").alias("subject"))
-    orphan = R.orphans(t.documents.select("doc_id"), t.labels, "doc_id", "doc_id").select(F.col("doc_id").alias("subject"))
-    drift = t.customer.where("lower(c_name) <> c_name").select(F.col("c_custkey").alias("subject"))
-    return E.findings(("shared_name", "high", shared), ("unlabelled", "low", orphan), ("name_drift", "medium", drift))
+also("all_audit_findings", "audit_findings")
 
 
 @query("""

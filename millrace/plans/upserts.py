@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import merge as M
+from ..sources import versions
+from ..sources.versions import VersionedTable
+from ..staging import shared_folder
 from .base import Tables, query
 
 
@@ -126,3 +131,18 @@ def appended_members(t: Tables):
 @query("SELECT text_hash, count(DISTINCT source) AS sources, count(DISTINCT source) >= 2 AS verified FROM (SELECT md5(text) AS text_hash, source FROM documents) GROUP BY 1")
 def verified_facts(t: Tables):
     return M.verified_by_sources(t.documents.select(F.md5(F.col("text").cast("binary")).alias("text_hash"), "source"), ["text_hash"], "source")
+
+
+@query("SELECT user_id, event_id, event_type, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def streamed_upserts(t: Tables):
+    """Events as a stream of files, upserted by user into a versioned table, one micro-batch a file; one batch comes twice."""
+    spark, folder = t.spark, f"{shared_folder(t.spark)}/upserts-{uuid.uuid4().hex}"
+    events = t.events.select("user_id", "event_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    events.repartition(4, "event_id").write.parquet(f"{folder}/in")
+    schema = "user_id long, event_id long, event_type string, value double, at long"
+    table = VersionedTable(spark, f"{folder}/table", schema, ["user_id"], 8)
+    newest = versions.newest(["user_id"], ["at", "event_id"])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    stream.writeStream.foreachBatch(versions.upserting(table, newest)).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    table.upsert(events.limit(1), 0, newest)  # a replay of batch 0 changes nothing, whatever it brings
+    return table.read().select("user_id", "event_id", "event_type", F.round("value", 6).alias("value"))

@@ -6,8 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _fallback: dict[str, str] = {}
@@ -33,3 +35,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows that may be sent to every task.
+FEW = 100_000
+
+
+def broadcast_if_few(table: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """How to join with parts of a staged table: broadcast if it is counted and found to have FEW rows at most, else as the planner will."""
+    return F.broadcast if table.count() <= FEW else lambda part: part

@@ -1,5 +1,7 @@
 """Recruiting sites: cases beyond those of the queries."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from millrace.operators import hiring as H
@@ -23,6 +25,41 @@ def test_persisted(spark):
     assert {r["row_id"]: (r["action"], r["job_id"]) for r in rows} == {1: ("refreshed", 1), 2: ("conflict", 2), 3: ("source_added", 1), 4: ("job_created", None), 5: ("source_added", None)}
 
 
+def one_by_one(candidates, sources, jobs):
+    """The rule as it is told: candidates in order, each against what is there by then."""
+    known = {(p, r): j for p, r, j in sources}
+    owner = {j: c for j, c, _, _ in jobs}
+    by_name, out, made = {}, {}, {}
+    for j, c, t, city in sorted(jobs):
+        by_name.setdefault((c, t, city or ""), j)
+    for row, c, p, r, t, city in sorted(candidates):
+        if p is not None and r is not None and (p, r) in known:
+            job = known[p, r]
+            out[row] = ("refreshed" if owner[job] == c else "conflict", job if isinstance(job, int) else None, made.get(job))
+            continue
+        job, action = by_name.get((c, t, city or "")), "source_added"
+        if job is None:
+            job, action = f"new{row}", "job_created"
+            by_name[c, t, city or ""], owner[job], made[job] = job, c, row
+        if p is not None and r is not None:
+            known[p, r] = job
+        out[row] = (action, job if isinstance(job, int) else None, made.get(job))
+    return out
+
+
+def test_persisted_within_one_batch(spark):
+    """Raw ids that repeat in the batch, for one company or two; null cities, null raw ids."""
+    rng = random.Random(9)
+    jobs = [(j, rng.choice("ab"), rng.choice(["dev", "ops"]), rng.choice(["x", "", None])) for j in range(1, 7)]
+    sources = [("p", f"s{j}", j) for j in range(1, 5)]
+    new = [(n, rng.choice("abc"), "p", rng.choice(["s1", "s3", None, *(f"n{k}" for k in range(20))]), rng.choice(["dev", "ops", "qa"]), rng.choice(["x", "y", "", None])) for n in range(1, 120)]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    rows = H.persisted(frame(new, "row_id int, company string, provider string, raw_id string, title string, city string"), frame(sources, "provider string, raw_id string, job_id int"), frame(jobs, "job_id int, company string, title string, city string")).collect()
+    got = {r["row_id"]: (r["action"], r["job_id"], r["made_by"]) for r in rows}
+    assert len(rows) == len(new) and got == one_by_one(new, sources, jobs)
+    assert {a for a, _, _ in got.values()} == {"refreshed", "conflict", "source_added", "job_created"}
+
+
 def test_truncation_and_stages(spark):
     rows = spark.createDataFrame([("c", "low", str(i), f"f{i}") for i in range(3)] + [("d", "high", "9", "f9")], "code string, severity string, subject string, finding_id string")
     assert [r["code"] for r in H.ordered_findings(rows, ["high", "low"], 2).orderBy("place").collect()] == ["d", "c", "truncated"]
