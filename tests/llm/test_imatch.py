@@ -67,3 +67,49 @@ def test_whole_table_separates(spark):
     better = mean(float(a > b) + 0.5 * (a == b) for a, b in zip(near, after, strict=True))
     print("near", mean(near), "next", mean(after), "digests", digests, "better", better, len(texts))
     assert mean(near) > mean(after) + 0.2 and better > 0.9
+
+
+M = (1 << 64) - 1
+
+
+def mixed(x):
+    """The finaliser of splitmix64, in plain integers."""
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & M
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & M
+    return x ^ (x >> 31)
+
+
+def fingerprint(text, band, subsets):
+    """As the docstring tells it: terms in the band, levels by their number, a sum of hashes for each subset at two levels."""
+    import numpy as np
+
+    terms = {}
+    for w in set(re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))):
+        data = np.frombuffer(w.encode(), np.uint8)
+        terms[w] = int(I.term_sets(data, np.array([0, len(data)]))[0][0])
+    inside = sorted(h for w, h in terms.items() if w in band)
+    if not inside:
+        return "d" + hashlib.sha256(text.encode()).hexdigest()
+    level = (len(inside) - 1).bit_length()
+    out = [[], []]
+    for k in range(1, subsets + 1):
+        salt = mixed(k * 0x9E3779B97F4A7C15 & M)
+        for finer in (0, 1):
+            held = [d for h in inside if (d := mixed(h ^ salt)) <= M >> level >> finer]
+            total = sum(mixed(d + salt & M) for d in held) & M
+            out[finer].append(max(1, total >> 32) if held else 0)
+    return f"{level:02d}" + "".join(f"{x:08x}" for x in out[0] + out[1])
+
+
+def test_fingerprints_against_plain_integers(spark):
+    rows = [(i, " ".join(f"W{(i * k + k * k) % 61}" for k in range(1, 4 + i % 30)) + ("" if i % 3 else " Äpfel é9")) for i in range(90)] + [(200, ""), (201, "only1here"), (202, "W1 w1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    low, high, subsets = 0.03, 0.6, 7
+    frequency = Counter(w for _, t in rows for w in set(re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))))
+    band = {w for w, n in frequency.items() if max(2, low * len(rows)) <= n <= max(2, high * len(rows))}
+    got = {r["doc_id"]: r for r in I.fingerprint_edits(df, low=low, high=high, subsets=subsets).collect()}
+    assert len(band) > 20
+    for d, t, follower in edited(rows):
+        own, other, after = (fingerprint(x, band, subsets) for x in (dict(rows)[d], t, follower))
+        assert (got[d]["fingerprint"], got[d]["edited_fingerprint"]) == (own, other)
+        assert abs(got[d]["near_next"] - I.likeness(own, after)) < 1e-9
