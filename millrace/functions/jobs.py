@@ -22,19 +22,30 @@ PLACE_PREFIXES = [
 ]
 #: Places in front of a name, its legal endings and its trade words, as search variants drop them (fixed values).
 VARIANT_PLACES = ["北京", "上海", "天津", "重庆", "广州", "深圳", "杭州", "成都", "武汉", "厦门", "苏州"]
-VARIANT_ENDINGS = ["有限公司", "集团", "研究院", "公司", "科技", "信息技术", "数据", "人工智能", "数智"]
+VARIANT_ENDINGS = ["有限公司", "集团", "研究院", "公司"]
+VARIANT_WORDS = ["科技", "信息技术", "数据", "人工智能", "数智"]
 #: Places of work that a card may name (fixed values).
 PLACES = [
     "北京", "上海", "广州", "深圳", "杭州", "南京", "成都", "武汉", "西安", "重庆", "天津", "苏州", "青岛", "长沙", "郑州", "合肥", "福州", "厦门", "东莞", "宁波", "无锡", "佛山", "沈阳", "大连", "济南", "石家庄", "哈尔滨", "昆明", "南昌", "南宁", "温州",
     "贵阳", "泉州", "珠海", "长春", "太原", "中山", "嘉兴", "常州", "徐州", "南通", "金华", "保定", "惠州", "台州", "绍兴", "烟台", "潍坊", "洛阳", "唐山", "海口", "兰州", "银川", "西宁", "呼和浩特", "乌鲁木齐", "拉萨",
     "香港", "澳门", "台北", "新加坡", "东京", "西雅图", "旧金山", "纽约", "伦敦", "远程", "Remote", "remote", "异地",
 ]
-#: Words of pay by the day and by the year (fixed values): such figures are no monthly salary.
-NOT_MONTHLY = ["/天", "元/天", "每天", "日结", "/日", "日薪", "万/年", "w/年", "W/年", "元/年", "每年", "/年", "年薪"]
+#: Words of pay by the day, and of pay by the year (fixed values): such figures are no monthly salary.
+BY_DAY = ["/天", "元/天", "每天", "日结", "/日", "日薪"]
+BY_YEAR = ["万/年", "w/年", "W/年", "元/年", "每年", "/年", "年薪"]
 #: Thousands in a unit (fixed values).
 THOUSANDS = {"k": 1, "千": 1, "万": 10, "w": 10}
-_RANGE = re.compile(r"(\d+(?:\.\d+)?)\s*([Kk千万wW元]?)\s*[-~到至×Xx*]\s*(\d+(?:\.\d+)?)\s*([Kk千万wW元薪]?)")
-_MONTHS = re.compile(r"(\d{1,2})\s*薪")
+#: Ranges of amounts, and months a year, as cards write them (fixed values).
+RANGE = re.compile(r"(?P<min>\d+(?:\.\d+)?)\s*(?P<min_unit>K|k|千|万|w|W|元)?\s*[-~到至×Xx*]\s*(?P<max>\d+(?:\.\d+)?)\s*(?P<unit>K|k|千|万|w|W|元|薪)?")
+MONTHS = re.compile(r"(?P<n>\d{1,2})\s*薪")
+#: Words behind (within 3 characters) and before (within 2) a range that is years of experience (fixed values).
+BEHIND, BEHIND_WIDTH = ["年", "月", "经验", "天"], 3
+AHEAD, AHEAD_WIDTH = ["经验", "工作", "不限"], 2
+#: Words of each kind of employment, and of each in Latin letters (fixed values), in the order in which kinds are tried.
+KINDS = {
+    "internship": (["实习", "实习生"], "intern"), "part_time": (["兼职", "小时工", "钟点工"], "part"),
+    "temporary": (["临时", "外包", "劳务派遣"], None), "full_time": (["全职", "正式", "校招", "社招", "经验不限"], "full"),
+}
 LOWEST, HIGHEST = 0.5, 500
 _EDGE = "（）()\\[\\]【】·\\-—"
 
@@ -42,18 +53,18 @@ _EDGE = "（）()\\[\\]【】·\\-—"
 def card_salary(text: str | None) -> tuple[int | None, int | None, int | None]:
     """(low, high, months) in whole thousands a month, rounded half to even. A range with a unit of thousands goes before one without;
     years of experience are no range; both amounts must have the same unit, if both have one. Without a salary the months stay."""
-    if not text or any(word in text for word in NOT_MONTHLY):
+    if not text or any(word in text for word in BY_DAY + BY_YEAR):
         return None, None, None
-    told = _MONTHS.search(text)
-    months = int(told[1]) if told else None
+    told = MONTHS.search(text)
+    months = int(told["n"]) if told else None
 
     def worth(m: re.Match) -> bool:
-        behind, ahead = text[m.end() : m.end() + 3], text[max(0, m.start() - 2) : m.start()]
-        return bool(m[2] or m[4]) or not re.search("年|月|经验|天", behind) and not re.search("经验|工作|不限", ahead)
+        near = (text[m.end() : m.end() + BEHIND_WIDTH], BEHIND), (text[max(0, m.start() - AHEAD_WIDTH) : m.start()], AHEAD)
+        return bool(m["min_unit"] or m["unit"]) or not any(word in part for part, words in near for word in words)
 
-    ranges = sorted(filter(worth, _RANGE.finditer(text)), key=lambda m: (m[2] or m[4]).lower() not in THOUSANDS)
+    ranges = sorted(filter(worth, RANGE.finditer(text)), key=lambda m: (m["min_unit"] or m["unit"] or "").lower() not in THOUSANDS)
     if ranges:
-        low, first, high, last = ranges[0].groups()
+        low, first, high, last = (ranges[0][name] or "" for name in ("min", "min_unit", "max", "unit"))
         first, last = first.lower(), last.lower()
         agreed = not (first and last) or THOUSANDS.get(first, first) == THOUSANDS.get(last, last)
         factor = 1 if (first or last) == "薪" else THOUSANDS.get(first or last)
@@ -76,11 +87,12 @@ def salary(text):
 
 def employment_type(text: Column) -> Column:
     """The first kind of which a word is there; null without one."""
-    low = F.lower(text)
-    return (
-        F.when(text.contains("实习") | low.contains("intern"), "internship").when(text.rlike("兼职|小时工|钟点工") | low.contains("part"), "part_time")
-        .when(text.rlike("临时|外包|劳务派遣"), "temporary").when(text.rlike("全职|正式|校招|社招|经验不限") | low.contains("full"), "full_time")
-    )
+    out = None
+    for kind, (words, latin) in KINDS.items():
+        there = text.rlike("|".join(words))
+        there = there | F.lower(text).contains(latin) if latin else there
+        out = F.when(there, kind) if out is None else out.when(there, kind)
+    return out
 
 
 def public_type(title: Column, kind: Column) -> Column:
@@ -118,7 +130,7 @@ def variants(name: Column) -> Column:
     compact = F.regexp_replace(name, r"(?U)\s+", "")
     bare = F.regexp_replace(compact, rf"^(?:{'|'.join(VARIANT_PLACES)})", "")
     core = bare
-    for ending in VARIANT_ENDINGS:
+    for ending in VARIANT_ENDINGS + VARIANT_WORDS:
         core = F.regexp_replace(core, rf"{ending}\z", "")
     head = F.when(core.rlike(r"[\u4e00-\u9fff]"), F.substr(core, F.lit(1), F.lit(3)))
     return F.array_distinct(F.filter(F.array(compact, bare, core, F.when(F.length(core) >= 3, head)), lambda v: F.length(v) >= 3))

@@ -67,14 +67,20 @@ def mentioned(name: Column, text: Column) -> Column:
     return F.coalesce((name != "") & F.contains(text, name), F.lit(False))
 
 
+#: Labels of financing rounds, and the stages that they name (fixed values).
+SEED_LABELS, ANGEL_LABELS = ["种子轮", "种子"], ["天使轮", "天使"]
+LATE_LABELS, PUBLIC_LABELS = ["c轮", "d轮", "e轮", "f轮"], ["ipo", "上市"]
+ROUND, PRE_A, PRE_B = "轮", "pre-a", "pre-b"
+
+
 def funding_stage(label: Column) -> Column:
     """The stage that a financing label names; null where it names none."""
     low = F.replace(F.lower(F.trim(label)), F.lit(" "), F.lit(""))
-    a_round = low.contains("a") & low.contains("轮") & ~low.contains("pre-b")
-    b_round = low.startswith("pre-b") | (low.contains("b") & low.contains("轮"))
+    a_round = low.contains("a") & low.contains(ROUND) & ~low.contains(PRE_B)
+    b_round = low.startswith(PRE_B) | (low.contains("b") & low.contains(ROUND))
     return (
-        F.when(low.isin("种子轮", "种子"), "seed").when(low.isin("天使轮", "天使"), "angel").when(low.startswith("pre-a"), "pre_a").when(a_round, "series_a")
-        .when(b_round, "series_b").when(low.rlike("c轮|d轮|e轮|f轮"), "series_c_plus").when(low.rlike("ipo|上市"), "public")
+        F.when(low.isin(SEED_LABELS), "seed").when(low.isin(ANGEL_LABELS), "angel").when(low.startswith(PRE_A), "pre_a").when(a_round, "series_a")
+        .when(b_round, "series_b").when(low.rlike("|".join(LATE_LABELS)), "series_c_plus").when(low.rlike("|".join(PUBLIC_LABELS)), "public")
     )
 
 

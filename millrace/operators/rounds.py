@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .relational import fingerprint
+
 #: Forms of identifiers (fixed values).
 FINGERPRINT = r"\A[0-9a-f]{64}\z"
 ROUND_NAME = r"\A[a-z0-9][a-z0-9_-]{2,99}\z"
@@ -133,3 +135,16 @@ def active_requests(requests: DataFrame, keys: Sequence[str], order: Sequence[st
     """For each key the earliest request that is still to be answered."""
     first = F.min_by(F.struct(*requests.columns), F.struct(*order)).alias("_r")
     return requests.where(F.col("status").isin(ACTIVE)).groupBy(*keys).agg(first).select("_r.*")
+
+
+def evidence_round(members: DataFrame, observed: DataFrame, audits: DataFrame, stratum: str, key: str, failed: Column, most_failed: str) -> DataFrame:
+    """What a further round of evidence would do, before it is run: per stratum its members, those observed already, those still to be
+    (none where the stratum is paused: more than most_failed of its audited rows failed), and the digest of all members."""
+    rate = F.count_if(failed) / F.count("*")
+    paused = audits.groupBy(stratum).agg((rate > F.lit(most_failed).cast("double")).alias("_paused"))
+    marked = members.join(observed.select(key).distinct().withColumn("_seen", F.lit(True)), key, "left")
+    counts = marked.groupBy(stratum).agg(F.count("*").alias("members"), F.count("_seen").alias("observed"))
+    planned = counts.join(paused, stratum, "left").withColumn("paused", F.coalesce("_paused", F.lit(False))).drop("_paused")
+    digest = fingerprint(members, key).select("fingerprint")  # one row
+    pending = F.when(F.col("paused"), F.lit(0).cast("long")).otherwise(F.col("members") - F.col("observed"))
+    return planned.withColumn("pending", pending).join(F.broadcast(digest), F.lit(True))

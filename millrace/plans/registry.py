@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collection, entities, hiring, ranking, reports, resolution, rounds, scalars, streams, upserts, work  # noqa: F401
+from . import collection, entities, hiring, inputs, ranking, reports, resolution, rounds, scalars, streams, upserts, work  # noqa: F401
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

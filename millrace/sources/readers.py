@@ -88,3 +88,29 @@ def site_mapping(pairs: DataFrame, companies: DataFrame) -> tuple[DataFrame, Dat
 def typed(spark: SparkSession, path: str, schema: str, format: str = "parquet", **options: str) -> DataFrame:
     """A reader for any of Spark's formats with a declared schema."""
     return spark.read.format(format).schema(schema).options(**options).load(path)
+
+
+MAX_LIST_BYTES = 8 << 20
+
+
+def strict_list(rows: DataFrame, text: str, fields: str, key: str, most_bytes: int = MAX_LIST_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(items, verdict) of JSON texts that must be lists of objects with exactly these fields (DDL), none too large, no `key` twice or null.
+    A text that breaks a rule gives no item; the verdict names the first rule that it breaks, or null."""
+    keys = [c for c in rows.columns if c != text]
+    struct = f"struct<{', '.join(':'.join(f.split()) for f in fields.split(','))}>"
+    names = [f.split()[0] for f in fields.split(",")]
+    size = F.octet_length(text)
+    told = rows.withColumn("_list", F.when(size <= most_bytes, F.from_json(text, f"array<{struct}>", {"mode": "PERMISSIVE"})))
+    raw = F.when(size <= most_bytes, F.from_json(text, "array<map<string,string>>"))
+    told = told.withColumn("_raw", raw).withColumn("_keys", F.transform("_list", lambda x: x[key]))
+    odd = F.exists("_raw", lambda m: m.isNull() | (F.size(F.array_except(F.map_keys(m), F.array(*map(F.lit, names)))) > 0))
+    lost = F.exists(F.arrays_zip("_raw", "_list"), lambda z: F.exists(F.map_keys(z["_raw"]), lambda k: z["_raw"][k].isNotNull() & F.element_at(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[z["_list"][n].cast("string") for n in names])), k).isNull()))
+    reason = (
+        F.when(F.col(text).isNull(), "missing").when(size > most_bytes, "too_large")
+        .when(~F.coalesce(F.trim(text).startswith("["), F.lit(False)) | F.col("_raw").isNull() | F.col("_list").isNull(), "no_list")
+        .when(odd, "unknown_field").when(lost, "wrong_type").when(F.exists("_keys", lambda k: k.isNull()), "no_key")
+        .when(F.size(F.array_distinct("_keys")) < F.size("_keys"), "key_twice")
+    )
+    judged = told.withColumn("reason", reason)
+    items = judged.where("reason IS NULL").select(*keys, F.posexplode("_list").alias("position", "_item")).select(*keys, "position", "_item.*")
+    return items, judged.select(*keys, F.when(F.col("reason").isNull(), F.size("_list")).alias("n"), "reason")
