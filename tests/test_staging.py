@@ -32,3 +32,15 @@ def test_without_the_setting():
 def test_the_setting_counts(tmp_path):
     out = ran(more=f'.config("spark.checkpoint.dir", "file://{tmp_path}")')
     assert f"GOT file://{tmp_path}" in out and "ROWS 5 True" in out
+
+
+def test_staged_tables_go_with_their_block(spark):
+    from millrace import staging
+    from millrace.plans.registry import QUERIES
+
+    where = Path(staging.shared_folder(spark).removeprefix("file://").removeprefix("file:"))
+    before = {p.name for p in where.iterdir()} if where.exists() else set()
+    with staging.temporary(spark):
+        rows = QUERIES["default_rank_order"](spark, "/root/testdata/sf0.001").collect()
+        assert rows and {p.name for p in where.iterdir()} > before
+    assert {p.name for p in where.iterdir()} == before
