@@ -31,20 +31,28 @@ def _met(asks: DataFrame, postings: DataFrame, heavy: DataFrame) -> DataFrame:
 
 
 def _ordered(sets: DataFrame, counts: DataFrame, heavy: DataFrame, name: str) -> DataFrame:
-    """(id, n, t, pos): the tokens of each set, the rarest first; pos from 1."""
-    each = sets.select("id", F.explode("tokens").alias("t")).join(F.broadcast(heavy), "t", "left")
-    each = each.withColumn("_salt", F.pmod(F.xxhash64("id"), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
-    known = counts.join(F.broadcast(heavy), "t", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-    counted = each.join(known, ["t", "_salt"], "left")
-    sorted_ = counted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "t"))).alias("ts"))
-    return staged(sorted_.select("id", F.size("ts").alias("n"), F.posexplode("ts").alias("p", "x")).select("id", "n", F.col("x.t").alias("t"), (F.col("p") + 1).alias("pos")), name)
+    """(id, n, known): the size of each set, and the numbers of those of its tokens that occur on the right, the rarest first."""
+    salts = F.coalesce("_salts", F.lit(1))
+    named = counts.join(F.broadcast(heavy), "no", "left").select("t", "n", "no", "_salts")
+    few = F.broadcast(named.where("_salts IS NOT NULL").select("t", "_salts"))
+    each = sets.select("id", F.size("tokens").alias("size"), F.explode("tokens").alias("t")).join(few, "t", "left")
+    each = each.withColumn("_salt", F.pmod(F.xxhash64("id"), salts).cast("int")).drop("_salts")
+    numbered = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    met = each.join(numbered, ["t", "_salt"], "left").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.when(F.col("no").isNotNull(), F.struct("n", "no")))).alias("ts"))
+    return staged(met.select("id", F.col("size").alias("n"), F.transform("ts", lambda x: x["no"]).alias("known")), name)
+
+
+def _tokens(ordered: DataFrame) -> DataFrame:
+    """(id, n, t, pos): pos from 1; tokens that don't occur on the right are the rarest, and stand before all others."""
+    each = ordered.select("id", "n", F.size("known").alias("k"), F.posexplode("known").alias("p", "t"))
+    return each.select("id", "n", "t", (F.col("n") - F.col("k") + F.col("p") + 1).alias("pos"))
 
 
 def _compared(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b, a_n, distance) of the pairs, on whole sets."""
-    sets = pairs.join(left.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(right.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return sets.select("a", "b", F.size("x").alias("a_n"), (1 - common / (F.size("x") + F.size("y") - common)).alias("distance"))
+    """(a, b, distance) of the pairs, on whole sets, as numbers."""
+    sets = pairs.join(left.select(F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("known").alias("x")), "a").join(right.select(F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("known").alias("y")), "b")
+    common = sets.select("a", "b", "a_n", "b_n", F.size(F.array_intersect("x", "y")).alias("c"))
+    return common.select("a", "b", (1 - F.col("c") / (F.col("a_n") + F.col("b_n") - F.col("c"))).alias("distance"))
 
 
 def _first(scored: DataFrame, k: int) -> DataFrame:
@@ -55,11 +63,14 @@ def _first(scored: DataFrame, k: int) -> DataFrame:
 def nearest_sets(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     """(a, b, distance, place): for each row of left (id, tokens) the k rows of right (id, tokens) with the smallest Jaccard
     distance, ties by id, among those that share a token and have another id. Tokens are distinct in a set; ids are unique."""
-    counts = staged(right.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n")), "tokens")
+    counts = right.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    counts = staged(counts.withColumn("no", F.monotonically_increasing_id()), "tokens")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    heavy = counts.where(F.col("n") * HEAVY > total).select("t", F.lit(SALTS).alias("_salts"))
-    asks = _ordered(left, counts, heavy, "asks").select(F.col("id").alias("a"), F.col("n").alias("a_n"), "t", F.col("pos").alias("a_pos"))
-    postings = _ordered(right, counts, heavy, "postings").select(F.col("id").alias("b"), F.col("n").alias("b_n"), "t", F.col("pos").alias("b_pos"))
+    heavy = counts.where(F.col("n") * HEAVY > total).select("no", F.lit(SALTS).alias("_salts"))
+    ids, left, right = left.select(F.col("id").alias("a")), _ordered(left, counts, heavy, "left"), _ordered(right, counts, heavy, "right")
+    heavy = heavy.withColumnRenamed("no", "t")
+    asks = _tokens(left).select(F.col("id").alias("a"), F.col("n").alias("a_n"), "t", F.col("pos").alias("a_pos"))
+    postings = _tokens(right).select(F.col("id").alias("b"), F.col("n").alias("b_n"), "t", F.col("pos").alias("b_pos"))
     smallest = Window.partitionBy("t").orderBy("b_n", "b")
     heads = staged(postings.withColumn("_nth", F.row_number().over(smallest)).where(F.col("_nth") <= k + 1).drop("_nth"), "heads")
     none = heavy.where("false")
@@ -67,7 +78,7 @@ def nearest_sets(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     early = F.ceil(F.col("a_n") / 4)
     pairs = _met(asks.where(F.col("a_pos") <= early), postings, heavy).select("a", "b").distinct()
     scored = staged(_compared(pairs, left, right), "scored")
-    few = left.select(F.col("id").alias("a")).join(_first(scored, k).where(F.col("place") == k), "a", "left_anti")
+    few = ids.join(_first(scored, k).where(F.col("place") == k), "a", "left_anti")
     more = _met(asks.join(few, "a", "left_semi"), heads, none).select("a", "b").distinct().join(scored, ["a", "b"], "left_anti")
     scored = staged(scored.unionByName(_compared(more, left, right)), "scored")
 
