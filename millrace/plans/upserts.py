@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import merge as M
-from ..sources import versions
+from ..sources import sinks, versions
 from ..sources.versions import VersionedTable
 from ..staging import shared_folder
 from .base import Tables, query
@@ -146,3 +146,13 @@ def streamed_upserts(t: Tables):
     stream.writeStream.foreachBatch(versions.upserting(table, newest)).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     table.upsert(events.limit(1), 0, newest)  # a replay of batch 0 changes nothing, whatever it brings
     return table.read().select("user_id", "event_id", "event_type", F.round("value", 6).alias("value"))
+
+
+@query("""SELECT o_orderstatus, o_orderkey, CASE WHEN o_orderstatus = 'P' THEN -o_totalprice ELSE o_totalprice END AS price FROM orders WHERE o_orderstatus <> 'P' OR o_orderkey % 2 = 0""")
+def replaced_partitions(t: Tables):
+    """Orders by status, of which the rows of one status are replaced; the other partitions stay as they are."""
+    path = f"{shared_folder(t.spark)}/partitions-{uuid.uuid4().hex}"
+    orders = t.orders.select("o_orderstatus", "o_orderkey", F.col("o_totalprice").alias("price"))
+    sinks.replace_partitions(orders, path, "o_orderstatus")
+    sinks.replace_partitions(orders.where("o_orderstatus = 'P' AND o_orderkey % 2 = 0").withColumn("price", -F.col("price")), path, "o_orderstatus")
+    return t.spark.read.schema("o_orderkey long, price double, o_orderstatus string").parquet(path)

@@ -46,11 +46,6 @@ def session_counts(events: DataFrame, at: str, gap: str, late: str, *keys: str)
     return events.withWatermark(at, late).groupBy(F.session_window(at, gap), *keys).agg(F.count("*").alias("n"))
 
 
-def latest_state(events: DataFrame, key: str, at: str, state: str) -> DataFrame:
-    """The last state of each key so far (for complete or update mode)."""
-    return events.groupBy(key).agg(F.max_by(state, at).alias(state))
-
-
 def drained(stream: DataFrame, checkpoint: str, path: str) -> DataFrame:
     """What is available now, through the stream into files, and those files."""
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
