@@ -36,21 +36,6 @@ def latest_before(rows: DataFrame, rounds: DataFrame, key: str, at: str, tie: st
     return out
 
 
-def midrank_percentile(value: str, group: Sequence[str]) -> Column:
-    """(rows below + half of the equal ones) / rows, per group; 1 in a group of one, 0 for values that are not positive."""
-    whole, order = Window.partitionBy(*group), Window.partitionBy(*group).orderBy(value)
-    below = F.rank().over(order) - 1
-    equal = F.count("*").over(Window.partitionBy(*group, value))
-    n = F.count("*").over(whole)
-    return F.when(F.col(value) <= 0, 0.0).when(n == 1, 1.0).otherwise((below + equal / 2) / n)
-
-
-def positional_bucket(buckets: int, order: Sequence[Column], group: Sequence[str] = ()) -> Column:
-    """floor(index * buckets / rows) in sorted order. Unlike ntile, remainders are spread."""
-    sorted_, whole = Window.partitionBy(*group).orderBy(*order), Window.partitionBy(*group)
-    return F.floor((F.row_number().over(sorted_) - 1) * buckets / F.count("*").over(whole)).cast("int")
-
-
 def running(rows: DataFrame, order: Sequence[str], weight: str, name: str, within: Sequence[str] = ()) -> DataFrame:
     """`name`: the sum of `weight` over all earlier rows of the same `within`, in order, without a window over a whole table or group:
     rows are range-partitioned and written once, summed in their partition, and offset by the sums of the partitions before."""
@@ -69,8 +54,8 @@ def dense_positions(rows: DataFrame, order: Sequence[str], name: str, within: Se
 
 
 def midranks(rows: DataFrame, value: str, group: Sequence[str], name: str) -> DataFrame:
-    """(group, value, name): as midrank_percentile, a row per distinct value that is there, for groups of any size: equal values are
-    counted first, and only distinct ones are put in order."""
+    """(group, value, name): (rows below + half of the equal ones) / rows, per group, a row per distinct value that is there; 1 in a group of
+    one, 0 for values that are not positive. Groups may have any size: equal values are counted first, and only distinct ones are put in order."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_equal"))
     below = running(counts, [value], "_equal", "_below", group)
     sizes = below.groupBy(*group).agg(F.sum("_equal").alias("_rows"))
@@ -85,7 +70,7 @@ def with_midrank(rows: DataFrame, value: str, group: Sequence[str], name: str) -
 
 
 def with_bucket(rows: DataFrame, buckets: int, order: Sequence[str], name: str, group: Sequence[str] = ()) -> DataFrame:
-    """As positional_bucket, for groups of any size."""
+    """floor(index * buckets / rows) in sorted order, for groups of any size. Unlike ntile, remainders are spread."""
     placed = dense_positions(rows, order, "_place", group)
     if group:
         sized = placed.join(rows.groupBy(*group).agg(F.count("*").alias("_rows")), list(group))

@@ -34,7 +34,8 @@ def test_coverage_needs_every_entry(spark):
 def test_midrank_percentile(spark):
     rng = random.Random(1)
     data = [(g, rng.randint(0, 6)) for g in "aaaaaaaaaaaaaaaabbbbbbbc" for _ in range(2)] + [("d", 3), ("e", 0)]
-    got = spark.createDataFrame([(i, g, v) for i, (g, v) in enumerate(data)], "i int, g string, v int").select("i", windows.midrank_percentile("v", ["g"]).alias("p")).collect()
+    got = spark.createDataFrame([(i, g, v) for i, (g, v) in enumerate(data)], "i int, g string, v int")
+    got = windows.with_midrank(got, "v", ["g"], "p").select("i", "p").collect()
     for r in got:
         g, v = data[r["i"]]
         peers = [x for h, x in data if h == g]
@@ -59,7 +60,7 @@ def test_apportionment(spark):
 def test_positions_and_buckets(spark):
     df = spark.createDataFrame([((i * 37) % 101,) for i in range(101)], "v int").repartition(5)
     assert rows(windows.dense_positions(df, ["v"], "place"), "v", "place") == [(i, i) for i in range(101)]
-    assert rows(df.select("v", windows.positional_bucket(5, [F.col("v")]).alias("b")), "v", "b") == [(i, i * 5 // 101) for i in range(101)]
+    assert rows(windows.with_bucket(df.select("v"), 5, ["v"], "b"), "v", "b") == [(i, i * 5 // 101) for i in range(101)]
     sample = windows.stratified_sample(df, F.concat(F.lit("s"), (F.col("v") % 3).cast("string")), "v", 20, "x")
     assert sample.count() == 20 and rows(sample, "v") == rows(windows.stratified_sample(df, F.concat(F.lit("s"), (F.col("v") % 3).cast("string")), "v", 20, "x"), "v") != rows(windows.stratified_sample(df, F.concat(F.lit("s"), (F.col("v") % 3).cast("string")), "v", 20, "y"), "v")
 
