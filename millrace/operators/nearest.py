@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ..staging import staged
 
 HEAVY, SALTS = 256, 32
+#: Where joining all shared tokens can't give more rows than these, that join is the whole plan: same rows, fewer steps.
+PLAIN_ROWS = 1_000_000
 #: Above the rounding of a ratio of two small integers.
 _EPS = 1e-9
 
@@ -60,10 +62,22 @@ def _first(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def _plain(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """All pairs that share a token, counted by the join itself."""
+    one = left.select(F.col("id").alias("a"), F.size("tokens").alias("a_n"), F.explode("tokens").alias("t"))
+    two = right.select(F.col("id").alias("b"), F.size("tokens").alias("b_n"), F.explode("tokens").alias("t"))
+    common = one.join(two, "t").where("a <> b").groupBy("a", "b", "a_n", "b_n").agg(F.count("*").alias("c"))
+    scored = common.select("a", "b", (1 - F.col("c") / (F.col("a_n") + F.col("b_n") - F.col("c"))).alias("distance"))
+    return _first(scored, k).select("a", "b", "distance", "place")
+
+
 def nearest_sets(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     """(a, b, distance, place): for each row of left (id, tokens) the k rows of right (id, tokens) with the smallest Jaccard
     distance, ties by id, among those that share a token and have another id. Tokens are distinct in a set; ids are unique."""
     counts = right.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    asked, most = left.agg(F.sum(F.greatest(F.size("tokens"), F.lit(0)))).first()[0] or 0, counts.agg(F.max("n")).first()[0] or 0
+    if asked * most <= PLAIN_ROWS:
+        return _plain(left, right, k)
     counts = staged(counts.withColumn("no", F.monotonically_increasing_id()), "tokens")
     total = counts.agg(F.sum("n")).first()[0] or 0
     heavy = counts.where(F.col("n") * HEAVY > total).select("no", F.lit(SALTS).alias("_salts"))
