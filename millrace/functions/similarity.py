@@ -79,6 +79,12 @@ def partial_ratio(a, b):
     return F.pandas_udf(_each(best_window_ratio), "double")(a, b)
 
 
-def title_ratio(a, b):
-    """difflib's ratio; the order of the arguments matters."""
-    return F.pandas_udf(_each(lambda x, y: SequenceMatcher(None, x, y, autojunk=False).ratio() * 100), "double")(a, b)
+def title_score(a: str, b: str, at_least: float = 0) -> float | None:
+    """difflib's ratio; None where the characters that both have show that it is below the limit."""
+    m = SequenceMatcher(None, a, b, autojunk=False)
+    return m.ratio() * 100 if not at_least or m.quick_ratio() * 100 >= at_least else None
+
+
+def title_ratio(a, b, at_least: float = 0):
+    """difflib's ratio; the order of the arguments matters. Null where it is seen early that it is below the limit."""
+    return F.pandas_udf(_each(lambda x, y: title_score(x, y, at_least)), "double")(a, b)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity
+from ..staging import staged
 from .nearest import nearest_sets
 
 
@@ -30,11 +31,22 @@ def rescored(pairs: DataFrame, left: DataFrame, right: DataFrame, at_least: floa
 
 
 def resolved_titles(new: DataFrame, known: DataFrame, at_least: float = 75) -> DataFrame:
-    """For each new row (id, owner, city, title) the best known one (id, owner, city, title) of the same owner and city, ties by the larger id."""
-    other = known.select(F.col("id").alias("known"), "owner", "city", F.col("title").alias("known_title"))
-    pairs = new.join(other, ["owner", "city"]).withColumn("score", similarity.title_ratio("title", "known_title")).where(F.col("score") >= at_least)
-    best = pairs.groupBy("id").agg(F.max(F.struct("score", "known")).alias("best"))
-    return new.select("id").join(best, "id", "left").select("id", F.col("best.known").alias("known"), F.col("best.score").alias("score"))
+    """For each new row (id, owner, city, title) the best known one (id, owner, city, title) of the same owner and city, ties by the larger id.
+
+    Rows of one owner, city and title are one: the known one is that of the largest id. Two titles are compared once, wherever they
+    meet, and only if their lengths can reach the limit."""
+    group = ["owner", "city"]
+    tasks = int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work
+    asked = new.select(*group, "title").where("title IS NOT NULL").distinct()
+    other = known.where("title IS NOT NULL").groupBy(*group, F.col("title").alias("known_title")).agg(F.max("id").alias("known"))
+    asked, other = staged(asked, "asked"), staged(other, "known")
+    shorter, both = F.least(F.length("title"), F.length("known_title")), F.length("title") + F.length("known_title")
+    met = asked.repartition(tasks, *group, "title").join(other, group).where(200 * shorter + 1e-6 >= F.lit(at_least) * both)
+    titles = met.select("title", "known_title").distinct().repartition(tasks)
+    alike = staged(titles.withColumn("score", similarity.title_ratio("title", "known_title", at_least)).where(F.col("score") >= at_least), "alike")
+    best = asked.join(alike, "title").join(other, [*group, "known_title"]).groupBy(*group, "title").agg(F.max(F.struct("score", "known")).alias("best"))
+    own = new.join(best, [*group, "title"]).groupBy("id").agg(F.max("best").alias("best"))
+    return new.select("id").join(own, "id", "left").select("id", F.col("best.known").alias("known"), F.col("best.score").alias("score"))
 
 
 def decision(owners: Column, conflicts: Column, backend: Column, neighbours: Column, short: Column) -> tuple[Column, Column]:
