@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import broadcast_if_few, staged
 from .relational import fingerprint
 
 #: Forms of identifiers (fixed values).
@@ -54,12 +55,18 @@ def round_outcomes(proposals: DataFrame, stored: DataFrame, manifests: DataFrame
     member_count) with `outcome`. A name belongs to one round of a manifest: the stored one, else the earliest sound proposal
     (ties: least id), which is `created`; an equal proposal is `replayed`, another is `conflicting_membership` or
     `conflicting_round`. The other outcomes are the rule that a proposal breaks by itself. A predecessor must be a stored round of
-    the manifest that started earlier; it is looked at only where the name is free."""
-    versions = manifests.select(F.col("version").alias("manifest_version"), F.lit(True).alias("_known")).distinct()
+    the manifest that started earlier; it is looked at only where the name is free.
+
+    Proposals without a predecessor aren't dealt by it, and a few manifests are sent to the proposals, since either key would put
+    most proposals into a few tasks."""
+    versions = staged(manifests.select(F.col("version").alias("manifest_version"), F.lit(True).alias("_known")).distinct(), "versions")
     before = stored.select(F.col("round_id").alias("predecessor_id"), F.col("manifest_version").alias("_version"), F.col("started_at").alias("_began"))
     facts = F.struct(*_MEMBERSHIP, *_STORED)
     taken = stored.select("manifest_version", "name", facts.alias("_taken"))
-    joined = proposals.join(versions, "manifest_version", "left").join(before, "predecessor_id", "left").join(taken, ["manifest_version", "name"], "left")
+    known = proposals.join(broadcast_if_few(versions)(versions), "manifest_version", "left")
+    following = known.where("predecessor_id IS NOT NULL").join(before, "predecessor_id", "left")
+    leading = known.where("predecessor_id IS NULL").withColumns({c: F.lit(None).cast(before.schema[c].dataType) for c in ("_version", "_began")})
+    joined = following.unionByName(leading).join(taken, ["manifest_version", "name"], "left")
     member, number = F.col("membership_fingerprint"), F.col("member_count")
     unsound = _first_reason(
         (~_formed("name", ROUND_NAME), "invalid_name"),
