@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..staging import staged
 
 
+#: Edges that a task tells apart at once: what it holds doesn't grow with the table.
+EDGES = 500_000
+
+
 def _cut(df: DataFrame) -> DataFrame:
     """Lineage ends in a table in the shared folder."""
     return staged(df, "round")
@@ -16,7 +20,9 @@ def _cut(df: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): least label by edges and pointer jumping, rounds in the logarithm of a path's length."""
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = _cut(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    tasks = max(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), both.count() // EDGES + 1)
+    both = _cut(both.repartition(tasks, "u", "v").distinct())
     labels = _cut(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.col("u")).alias("component")))
     while True:
         far = labels.select(F.col("id").alias("v"), F.col("component").alias("far"))

@@ -33,7 +33,7 @@ SELECT u AS id, l AS component FROM l8
 """)
 def fuzzy_components(t: Tables):
     """Parts (even ids) and suppliers (odd ids) that order lines link."""
-    return G.connected_components(t.lineitem.select((2 * F.col("l_partkey")).alias("a"), (2 * F.col("l_suppkey") + 1).alias("b")).distinct())
+    return G.connected_components(t.lineitem.select((2 * F.col("l_partkey")).alias("a"), (2 * F.col("l_suppkey") + 1).alias("b")))
 
 
 also("part_supplier_components", "fuzzy_components")
