@@ -63,7 +63,8 @@ CARD_MARKUP = {
 def platform_pages(t: Tables):
     """Every page as each platform would mark up its list: items that aren't closed (i, span, b, p) among them."""
     item = F.create_map(*[F.lit(x) for pair in CARD_MARKUP.items() for x in pair])
-    pages = t.pages.select("page_id", "html", F.explode(F.array(*map(F.lit, CARD_MARKUP))).alias("platform"))
+    tasks = int(t.spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: a file of one row group would be one task
+    pages = t.pages.select("page_id", "html").repartition(tasks, "page_id").select("page_id", "html", F.explode(F.array(*map(F.lit, CARD_MARKUP))).alias("platform"))
     marked = F.replace(F.replace("html", F.lit("<li>"), item[F.col("platform")]), F.lit('<a href="/'), F.lit('<a class="position_link" href="/jobs/job/'))
     return pages.select("page_id", "platform", marked.alias("html"))
 
