@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from millrace.llm import substrings as S
@@ -45,6 +46,30 @@ def test_against_brute_force(spark):
     assert got(S.remove_repeats(df, length=400)) == brute(rows, 400)
 
 
+def test_runs_that_differ_in_a_period_only(spark):
+    """X Y is repeated at the start of X Y Y; what follows there is not."""
+    rng = random.Random(7)
+    noise = lambda n: "".join(rng.choice("bcdefghij") for _ in range(n))
+    docs = []
+    for k in range(30):
+        head, period = noise(50), noise(1 + k % 3)
+        docs += [head + (period * 50)[:50], head + (period * 50)[:62]]
+    rows = list(enumerate(docs))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute(rows, 100)
+    assert {w[1] for w in want.values()} == {100}
+    assert got(S.remove_repeats(df, length=100, block=10)) == want
+
+
+def test_anchors_do_not_depend_on_the_size_of_the_text():
+    rng = np.random.default_rng(3)
+    names = rng.integers(1 << 63, 1 << 64, 6000, dtype=np.uint64)
+    names[40], names[60] = (5 << 20) + (9 << 9), (5 << 20) + (3 << 9)  # equal but for bits that a long text gave up and a short one did not
+    short, long = (S.anchors(names[:n], np.array([0, n + 49]), 100) for n in (101, 6000))
+    at = [np.repeat(anchor, n)[:51].tolist() for _, n, anchor in (short, long)]
+    assert at[0] == at[1]
+
+
 def test_empty(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
