@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity
-from ..staging import staged
+from ..staging import dealt, staged
 from .nearest import nearest_sets
 
 
@@ -20,8 +20,9 @@ def trigrams(name: Column) -> Column:
 def trigram_neighbours(left: DataFrame, right: DataFrame, k: int = 20) -> DataFrame:
     """The k nearest names of `right` (id, name) for each of `left` (id, name), by 1 - common / all trigrams, ties by id. Only names
     that share a trigram are neighbours."""
-    grams = lambda names: names.select("id", trigrams(F.col("name")).alias("tokens"))
-    return nearest_sets(grams(left), grams(right), k)
+    grams = lambda names: staged(dealt(names.select("id", "name"), "id").select("id", trigrams(F.col("name")).alias("tokens")), "grams")
+    asking = grams(left)
+    return nearest_sets(asking, asking if right is left else grams(right), k)
 
 
 def rescored(pairs: DataFrame, left: DataFrame, right: DataFrame, at_least: float) -> DataFrame:

@@ -63,3 +63,8 @@ FEW = 100_000
 def broadcast_if_few(table: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """How to join with parts of a staged table: broadcast if it is counted and found to have FEW rows at most, else as the planner will."""
     return F.broadcast if table.count() <= FEW else lambda part: part
+
+
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """rows of few bytes and much work, dealt over four tasks a core."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *by)
